@@ -99,7 +99,7 @@ class Join:
 
     def _scan(self) -> None:
         gram = self.gram
-        bits = max(12, sketch.bits_for(self.docs, 18, 26) - 6)
+        bits = max(12, sketch.bits_for(self.docs, 18, 27) - 7)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(1 << bits, np.uint32)
@@ -246,11 +246,11 @@ class Join:
         """(node, component) of the classes that have a link."""
         keep, post = self.keep, self.postings()
         least = post.groupBy("h").agg(F.min(F.struct("sig", "n", "i")).alias("o"), F.max("sig").alias("hi")).where("o.sig <> hi").select("h", F.col("o.sig").alias("a"), F.col("o.n").alias("na"), F.col("o.i").alias("ia"))
-        star = post.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(least, "h").where("a <> b")
-        tried = keep.table(self._near(star), "star")
+        lists = keep.table(post.join(least, "h").distinct(), "lists")  # of two classes or more, each with its least
+        tried = keep.table(self._near(lists.where("a <> sig").select("a", "na", "ia", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))), "star")
         links = keep.table(self.verified(tried), "star_links")
         found = components(keep, links, "star")
-        c = post.distinct().join(found, F.col("sig") == F.col("node"), "left").select("h", "i", "n", "sig", F.coalesce("component", "sig").alias("c"))
+        c = lists.join(found, F.col("sig") == F.col("node"), "left").select("h", "i", "n", "sig", F.coalesce("component", "sig").alias("c"))
         c = keep.table(c, "grouped")
         mixed = c.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
         rest = self._near(self._pairs(c.join(mixed, "h"))).join(tried, ["a", "b"], "left_anti")

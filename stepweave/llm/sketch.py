@@ -26,9 +26,10 @@ _BITS = pa.schema([("line", pa.int32()), ("shard", pa.int32()), ("bits", pa.bina
 
 
 def bits_for(df: DataFrame, least: int = 20, most: int = 28) -> int:
-    """Cells per line as a power of two, about an eighth of the bytes on disk and within fixed bounds (32 MB a line at most)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, (max(size, 8) // 8 - 1).bit_length()))
+    """Cells per line as a power of two: a quarter of the bytes of the tables that ``df`` reads, within fixed bounds (32 MB a line at most)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(least, min(most, (max(size, 8) // 4 - 1).bit_length()))
 
 
 def _cells(fp: np.ndarray, line: int, bits: int) -> np.ndarray:
