@@ -170,7 +170,9 @@ class Join:
                 at = ask(h)
                 yield pa.RecordBatch.from_arrays([rolling.signed(h[at]), pa.array(i[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), rolling.signed(sig[at])], names=["h", "i", "n", "sig"])
 
-        return self.keep.table(text.mapInArrow(post, "h long, i int, n int, sig long"), "postings")
+        posted = self.keep.table(text.mapInArrow(post, "h long, i int, n int, sig long"), "postings")
+        seen.destroy()
+        return posted
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, na, ia, b, nb, ib) that length and place allow, distinct."""

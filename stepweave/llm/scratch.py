@@ -44,10 +44,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/stepweave-{uuid.uuid4().hex}"
         _made.append((spark, self.root))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` once and read it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

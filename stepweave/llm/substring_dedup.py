@@ -83,6 +83,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 50, sketc
 
     keep = Scratch(spark)
     found = keep.table(docs.select("k", "th", "text").mapInArrow(emit, _RUNS).withColumn("run", F.xxhash64("body")), "runs")
+    seen.destroy()
     kinds = keep.table(found.groupBy("fp", "body").agg(F.min("k").alias("k0")).withColumn("run", F.xxhash64("body")), "kinds")
     several = kinds.groupBy("fp").agg(F.count("*").alias("c"), F.min("k0").alias("least")).where("c > 1")
     later = kinds.join(several, "fp").select("fp", "run", "k0", "body", "least")

@@ -2,8 +2,8 @@
 
 Strings of ``length`` bytes fall into runs with one fingerprint, as in
 ``substring_dedup``; a sketch of all anchors leaves out the runs that cannot
-repeat, and runs of equal bytes are grouped whole, with map-side combination.
-What is left are distinct runs, sharded by fingerprint:
+repeat, and of equal runs in one chunk of documents only the first is sent on,
+as the others stand later.  What is left is sharded by fingerprint:
 
 * per shard, a suffix array by Larsson-Sadakane refinement (only groups that
   are not sorted yet are refined, by the rank of the suffix ``h`` further on),
@@ -29,6 +29,8 @@ from .scratch import Scratch
 from .substring_dedup import keyed, merge_spans
 
 GRAM = 32
+#: Rows of split fingerprints (16 bytes each) up to which they are broadcast.
+BROADCAST_PRINTS = 500_000
 _FOUND = "fp long, k long, th long, s long, e long, w long, kind int"
 _FOUND_ARROW = pa.schema([("fp", pa.int64()), ("k", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("w", pa.int64()), ("kind", pa.int32())])
 
@@ -98,6 +100,16 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return value[order]
 
 
+def _later(keys: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """For rows sorted by keys, then places: whether a row's place is beyond the first of its key. A row that stands twice is at one place."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    heads = np.flatnonzero(new)
+    head = heads[np.searchsorted(heads, np.arange(n), "right") - 1]
+    return np.any([x != x[head] for x in places], axis=0)
+
+
 def repeats_in_shard(bodies: list[bytes], k: np.ndarray, start: np.ndarray, th: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each string in the bodies: body, start in it, whether an earlier one is equal, and its hash."""
     t = np.frombuffer(b"".join(bodies), np.uint8)
@@ -111,9 +123,8 @@ def repeats_in_shard(bodies: list[bytes], k: np.ndarray, start: np.ndarray, th:
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = offsets[body] + inner
     turn = np.lexsort((th[body], start[body] + inner, k[body], group[at]))
-    of = group[at][turn]
     later = np.zeros(len(at), bool)
-    later[turn[1:]] = of[1:] == of[:-1]
+    later[turn] = _later([group[at][turn]], [k[body][turn], (start[body] + inner)[turn], th[body][turn]])
     return body, inner, later, rolling.fold(rolling.BYTE_HASH[t], length)[at]
 
 
@@ -151,23 +162,32 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 100, sket
         for batch in batches:
             k, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, data, offsets in rolling.text_chunks(batch.column(2)):
-                r = rolling.runs(rolling.BYTE_HASH[data], offsets, length, gram)
+                units = rolling.BYTE_HASH[data]
+                r = rolling.runs(units, offsets, length, gram)
                 at = np.flatnonzero(ask(r["fp"]))
-                if len(at):
-                    row = r["row"][at] + first
-                    body = rolling.slices(data, r["at"][at], r["n"][at] + length - 1)
-                    yield pa.RecordBatch.from_arrays([rolling.signed(r["fp"][at]), pa.array(k[row]), pa.array(th[row]), pa.array(r["start"][at]), body], names=["fp", "k", "th", "start", "body"])
+                if not len(at):
+                    continue
+                fp, start, size = r["fp"][at], r["start"][at], (r["n"][at] + length - 1).astype(np.int64)
+                row = r["row"][at] + first
+                # of equal runs in the chunk only the first travels with its bytes; the others go whole
+                first_w, last_w = (rolling.fold(units, length)[x] for x in (r["at"][at], r["at"][at] + r["n"][at] - 1))
+                turn = np.lexsort((th[row], start, k[row], size, last_w, first_w, fp))
+                again = np.zeros(len(at), bool)
+                again[turn] = _later([x[turn] for x in (fp, first_w, last_w, size)], [x[turn] for x in (k[row], start, th[row])])
+                body = rolling.slices(data, r["at"][at], np.where(again, 0, size))
+                yield pa.RecordBatch.from_arrays([rolling.signed(fp), pa.array(k[row]), pa.array(th[row]), pa.array(start), pa.array(size), body], names=["fp", "k", "th", "start", "size", "body"])
 
     keep = Scratch(spark)
-    found = keep.table(docs.select("k", "th", "text").mapInArrow(emit, "fp long, k long, th long, start long, body binary").withColumn("run", F.xxhash64("body")), "runs")
-    kinds = keep.table(found.groupBy("fp", "body").agg(F.min(F.struct("k", "start", "th")).alias("o")).withColumn("run", F.xxhash64("body")), "kinds")
-    place = F.struct("k", "start", "th")
-    whole = found.withColumn("size", F.length("body")).drop("body").join(kinds.select("fp", "run", F.length("body").alias("size"), "o"), ["fp", "run", "size"]).where(place > F.col("o"))
-    whole = whole.select("k", "th", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-
-    sizes = kinds.groupBy("fp").agg(F.sum(F.length("body")).alias("bytes"))
-    salted = kinds.join(sizes, "fp").withColumn("split", F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("int"))
-    salted = salted.select("fp", F.pmod(F.xxhash64("o"), F.col("split")).alias("salt"), (F.col("split") > 1).alias("many"), "o.k", "o.start", "o.th", "body")
+    found = keep.table(docs.select("k", "th", "text").mapInArrow(emit, "fp long, k long, th long, start long, size long, body binary"), "runs", "zstd")
+    seen.destroy()
+    again = F.length("body") == 0
+    whole = found.where(again).select("k", "th", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+    sizes = found.where(~again).groupBy("fp").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(shard_bytes))
+    sizes = keep.table(sizes.select("fp", F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("int").alias("split")), "split")
+    if sizes.count() <= BROADCAST_PRINTS:  # at most the bytes of all runs by shard_bytes
+        sizes = F.broadcast(sizes)
+    salted = found.where(~again).join(sizes, "fp", "left")
+    salted = salted.select("fp", F.coalesce(F.pmod(F.xxhash64("k", "start"), F.col("split")), F.lit(0)).alias("salt"), F.col("split").isNotNull().alias("many"), "k", "start", "th", "body")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -196,20 +216,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 100, sket
     solved = keep.table(salted.repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(shards, _FOUND), "solved")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        least = None  # key and place of the last class
         for batch in batches:
             fp, k, th, s, _, w, _ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            pair = np.rec.fromarrays([fp, w])
-            same = np.zeros(len(fp), bool)
-            same[1:] = pair[1:] == pair[:-1]
-            heads = np.flatnonzero(~same)
-            head = heads[np.searchsorted(heads, np.arange(len(fp)), "right") - 1]  # of each class in the merged order
-            later = head != np.arange(len(fp))
-            if last == (fp[0], w[0]):
-                later |= head == 0
-            last = (fp[-1], w[-1])
-            if later.any():
-                yield _spans(*(x[later] for x in (fp, k, th, s)), length)
+            if least and (fp[0], w[0]) == least[0]:  # a class may go on in the next batch
+                fp, w, k, s, th = (np.append(v, x) for v, x in zip((*least[0], *least[1]), (fp, w, k, s, th), strict=True))
+            later = _later([fp, w], [k, s, th])
+            at = np.searchsorted(np.cumsum(np.append(True, (fp[1:] != fp[:-1]) | (w[1:] != w[:-1]))), np.sum((fp[1:] != fp[:-1]) | (w[1:] != w[:-1])) + 1)
+            least = ((fp[at], w[at]), (k[at], s[at], th[at]))
+            yield _spans(*(x[later] for x in (fp, k, th, s)), length)
 
     split = solved.where("kind = 1").repartition(parts, "fp", "w").sortWithinPartitions("fp", "w", "k", "s", "th").mapInArrow(merge, _FOUND)
     cuts = whole.unionByName(solved.where("kind = 0").select("k", "th", "s", "e")).unionByName(split.select("k", "th", "s", "e"))
