@@ -5,6 +5,7 @@ Strings of ``length`` bytes fall into runs with one fingerprint, as in
 repeat, and of equal runs in one chunk of documents only the first is sent on,
 as the others stand later.  What is left is sharded by fingerprint:
 
+* runs are cut to the strings whose hash repeats in the shard;
 * per shard, a suffix array by Larsson-Sadakane refinement (only groups that
   are not sorted yet are refined, by the rank of the suffix ``h`` further on),
   and common prefixes from the permuted form of Kasai's recurrence: only where
@@ -28,7 +29,7 @@ from . import rolling, sketch
 from .scratch import Scratch
 from .substring_dedup import keyed, merge_spans
 
-GRAM = 32
+GRAM = 24
 #: Rows of split fingerprints (16 bytes each) up to which they are broadcast.
 BROADCAST_PRINTS = 500_000
 _FOUND = "fp long, k long, th long, s long, e long, w long, kind int"
@@ -110,18 +111,40 @@ def _later(keys: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     return np.any([x != x[head] for x in places], axis=0)
 
 
-def repeats_in_shard(bodies: list[bytes], k: np.ndarray, start: np.ndarray, th: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each string in the bodies: body, start in it, whether an earlier one is equal, and its hash."""
+def candidates(bodies: list[bytes], start: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bodies cut to the part whose strings may repeat in the shard, by their hashes: bytes, sizes, body and start of each; those of ``whole`` as they are."""
     t = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = np.array([len(x) for x in bodies], np.int64)
-    offsets = np.append(0, np.cumsum(sizes))
-    order = suffix_array(t)
-    group = np.zeros(len(t), np.int64)
-    group[order] = np.cumsum(common_prefixes(t, order) < length)
-    n = sizes - length + 1
+    offsets, n = np.append(0, np.cumsum(sizes)), sizes - length + 1
     body = np.repeat(np.arange(len(bodies)), n)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = rolling.fold(rolling.BYTE_HASH[t], length)[offsets[body] + inner]
+    turn = np.argsort(h)
+    same = h[turn[1:]] == h[turn[:-1]]
+    some = whole[body]
+    some[turn[1:][same]] = True
+    some[turn[:-1][same]] = True
+    at = np.flatnonzero(some)
+    if not len(at):
+        return t[:0], sizes[:0], body[:0], start[:0]
+    of = body[at]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    last = np.append(first[1:], len(of)) - 1
+    which, low = of[first], inner[at[first]]
+    size = inner[at[last]] - low + length
+    flat, _ = rolling.joined(size, offsets[which] + low, t)
+    return flat, size, which, start[which] + low
+
+
+def repeats_in_shard(t: np.ndarray, sizes: np.ndarray, k: np.ndarray, start: np.ndarray, th: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each string in the bodies, which lie one after another in ``t``: body, start in it, whether an earlier one is equal, and its hash."""
+    offsets, n = np.append(0, np.cumsum(sizes)), sizes - length + 1
+    body = np.repeat(np.arange(len(sizes)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = offsets[body] + inner
+    order = suffix_array(t)
+    group = np.zeros(len(t), np.int64)
+    group[order] = np.cumsum(common_prefixes(t, order) < length)
     turn = np.lexsort((th[body], start[body] + inner, k[body], group[at]))
     later = np.zeros(len(at), bool)
     later[turn] = _later([group[at][turn]], [k[body][turn], (start[body] + inner)[turn], th[body][turn]])
@@ -196,7 +219,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 100, sket
         def solve() -> Iterator[pa.RecordBatch]:
             fp, _, many, k, start, th, bodies = zip(*held, strict=True)
             fp, many, k, start, th = (np.array(x) for x in (fp, many, k, start, th))
-            body, inner, later, w = repeats_in_shard(list(bodies), k, start, th, length)
+            t, sizes, which, start = candidates(list(bodies), start, many, length)
+            if not len(sizes):
+                return
+            fp, many, k, th = (x[which] for x in (fp, many, k, th))
+            body, inner, later, w = repeats_in_shard(t, sizes, k, start, th, length)
             out = body[later]
             yield _spans(fp[out], k[out], th[out], start[out] + inner[later], length)
             if (first := many[body] & ~later).any():
