@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import MAX_LONG, let, plain_words
+from .words import ANY_WORD, MAX_LONG, ascii_lower, let, plain_words
 
 WINDOW = 13
 #: Rows of a table of words (under 20 MB) up to which it is broadcast.
@@ -33,17 +33,27 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
     return words.withColumn("ih", F.xxhash64("words")).dropDuplicates(["item", "ih"]).withColumn("len", F.least(F.size("words"), F.lit(window)))
 
 
-def _known(words: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Rows of ``words`` whose term is one of ``terms``."""
-    return words.join(F.broadcast(terms) if n_terms <= BROADCAST_WORDS else terms, "term", "left_semi")
+def _words_among(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(k, th, pos, term) of the words of texts that are among the terms.
+
+    Words are met in full lower case, which Spark makes fast for ASCII and which
+    equal words share; only others than ASCII are then held against the term
+    itself, as ``plain_words`` leaves their capitals.
+    """
+    raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_WORD), F.lit(0))
+    words = docs.select("k", "th", F.posexplode(raw).alias("pos", "word"))
+    known = terms.select("term", F.lower("term").alias("low"))
+    ascii_ = F.octet_length("word") == F.length("word")
+    j = words.join(F.broadcast(known) if n_terms <= BROADCAST_WORDS else known, F.lower("word") == F.col("low"))
+    return j.where(F.when(ascii_, F.col("term") == F.col("low")).otherwise(ascii_lower(F.col("word")) == F.col("term"))).select("k", "th", "pos", "term")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, n) over all texts, 0 where none has it."""
-    words = docs.select(F.explode(plain_words(F.col("text"))).alias("term"))
+    """(term, n) over all texts, 0 where none has it; combined before any shuffle, so no word is too common."""
     if n_terms <= BROADCAST_WORDS:
-        words = _known(words, terms, n_terms)
-    counts = words.groupBy("term").agg(F.count("*").alias("n"))  # combined before any shuffle, so no word is too common
+        counts = _words_among(docs, terms, n_terms).groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        counts = docs.select(F.explode(plain_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -74,8 +84,7 @@ class Index:
         self.items = keep.table(anchors(plain, counts), "anchors")
         self.anchors = keep.table(anchor_terms(self.items), "places")
         rare = self.anchors.select("term").distinct()
-        words = docs.select("k", "th", F.posexplode(plain_words(F.col("text"))).alias("pos", "term"))
-        self.postings = keep.table(_known(words, rare, rare.count()), "postings")
+        self.postings = keep.table(_words_among(docs, rare, rare.count()), "postings")
 
     def _shifted(self) -> DataFrame:
         return self.postings.join(self.anchors, "term").select("k", "th", "item", "ih", "p", (F.col("pos") - F.col("p")).alias("delta"))
@@ -127,10 +136,11 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "
             covered = F.flatten(F.transform(h, lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(x["delta"] + s, x["delta"] + s + x["len"] - 1)))))
             return F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.transform(h, lambda x: x["item"]))).alias("items"))
 
-        none = F.struct(F.size(w).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-        return F.when(F.col("found").isNull(), none).otherwise(let(hits(w, F.col("found")), of))
+        return let(hits(w, F.col("found")), of)
 
-    return j.select("doc_id", "k", "th", let(plain_words(F.col("text")), judge).alias("r")).select("doc_id", "k", "th", "r.*")
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_WORD)).cast("long")
+    none = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    return j.select("doc_id", "k", "th", F.when(F.col("found").isNull(), none).otherwise(let(plain_words(F.col("text")), judge)).alias("r")).select("doc_id", "k", "th", "r.*")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

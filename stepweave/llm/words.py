@@ -12,6 +12,8 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 #: Letters and digits of ASCII in lower case, and everything beyond ASCII.
 PLAIN_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same in either case.
+ANY_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 MAX_LONG = 9223372036854775807
 
 
