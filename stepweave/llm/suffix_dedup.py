@@ -5,7 +5,8 @@ Strings of ``length`` bytes fall into runs with one fingerprint, as in
 repeat, and of equal runs in one chunk of documents only the first is sent on,
 as the others stand later.  What is left is sharded by fingerprint:
 
-* runs are cut to the strings whose hash repeats in the shard;
+* runs are cut to the strings whose hash repeats in the shard, and of parts
+  that are equal then only the first stays;
 * per shard, a suffix array by Larsson-Sadakane refinement (only groups that
   are not sorted yet are refined, by the rank of the suffix ``h`` further on),
   and common prefixes from the permuted form of Kasai's recurrence: only where
@@ -111,8 +112,8 @@ def _later(keys: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     return np.any([x != x[head] for x in places], axis=0)
 
 
-def candidates(bodies: list[bytes], start: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bodies cut to the part whose strings may repeat in the shard, by their hashes: bytes, sizes, body and start of each; those of ``whole`` as they are."""
+def candidates(bodies: list[bytes], start: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bodies cut to the part whose strings may repeat in the shard, by their hashes: first byte in the joined bodies, size, body, start, and a hash of its strings; those of ``whole`` as they are."""
     t = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = np.array([len(x) for x in bodies], np.int64)
     offsets, n = np.append(0, np.cumsum(sizes)), sizes - length + 1
@@ -126,14 +127,16 @@ def candidates(bodies: list[bytes], start: np.ndarray, whole: np.ndarray, length
     some[turn[:-1][same]] = True
     at = np.flatnonzero(some)
     if not len(at):
-        return t[:0], sizes[:0], body[:0], start[:0]
+        return at, at, at, start[:0], h[:0]
     of = body[at]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     last = np.append(first[1:], len(of)) - 1
     which, low = of[first], inner[at[first]]
     size = inner[at[last]] - low + length
-    flat, _ = rolling.joined(size, offsets[which] + low, t)
-    return flat, size, which, start[which] + low
+    # one hash for all strings of a part: order in it doesn't matter, as equal strings follow each other alike
+    total = np.append(np.uint64(0), np.cumsum(rolling.mix(h)))
+    all_ = total[at[last] + 1] - total[at[first]]
+    return offsets[which] + low, size, which, start[which] + low, all_ ^ rolling.mix(h[at[first]])
 
 
 def repeats_in_shard(t: np.ndarray, sizes: np.ndarray, k: np.ndarray, start: np.ndarray, th: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,10 +222,18 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 100, sket
         def solve() -> Iterator[pa.RecordBatch]:
             fp, _, many, k, start, th, bodies = zip(*held, strict=True)
             fp, many, k, start, th = (np.array(x) for x in (fp, many, k, start, th))
-            t, sizes, which, start = candidates(list(bodies), start, many, length)
+            place, sizes, which, start, strings = candidates(list(bodies), start, many, length)
             if not len(sizes):
                 return
             fp, many, k, th = (x[which] for x in (fp, many, k, th))
+            # of equal parts only the first goes on; what is left are different texts that share strings
+            turn = np.lexsort((th, start, k, sizes, strings, fp))
+            again = np.zeros(len(turn), bool)
+            again[turn] = _later([x[turn] for x in (fp, strings, sizes)], [x[turn] for x in (k, start, th)])
+            zero = np.zeros(int(again.sum()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[again], k[again], th[again], start[again], start[again] + sizes[again], zero, zero.astype(np.int32))], schema=_FOUND_ARROW)
+            fp, many, k, th, start, sizes, place = (x[~again] for x in (fp, many, k, th, start, sizes, place))
+            t, _ = rolling.joined(sizes, place, np.frombuffer(b"".join(bodies), np.uint8))
             body, inner, later, w = repeats_in_shard(t, sizes, k, start, th, length)
             out = body[later]
             yield _spans(fp[out], k[out], th[out], start[out] + inner[later], length)
