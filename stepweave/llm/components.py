@@ -29,10 +29,10 @@ def components(keep: Scratch, links: DataFrame, name: str = "components", most:
     logarithm of the longest path.  Every round is a written table, so lineage
     stays short, and no link reaches the driver: it gets a count and a sum.
     """
-    e = keep.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
+    e = keep.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0", packed=True)
     was = None
     for i in range(1, most):
-        e = keep.table(_small(_large(e)), f"{name}_{i}")
+        e = keep.table(_small(_large(e)), f"{name}_{i}", packed=True)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if i > 1:
             keep.drop(f"{name}_{i - 1}")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import ANY_WORD, MAX_LONG, ascii_lower, let, plain_words
+from .words import MAX_LONG, any_words, ascii_lower, let, plain_words
 
 WINDOW = 13
 #: Rows of a table of words (under 20 MB) up to which it is broadcast.
@@ -40,8 +40,7 @@ def _words_among(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     equal words share; only others than ASCII are then held against the term
     itself, as ``plain_words`` leaves their capitals.
     """
-    raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_WORD), F.lit(0))
-    words = docs.select("k", "th", F.posexplode(raw).alias("pos", "word"))
+    words = docs.select("k", "th", F.posexplode(any_words(F.col("text"))).alias("pos", "word"))
     known = terms.select("term", F.lower("term").alias("low"))
     ascii_ = F.octet_length("word") == F.length("word")
     j = words.join(F.broadcast(known) if n_terms <= BROADCAST_WORDS else known, F.lower("word") == F.col("low"))
@@ -138,7 +137,7 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "
 
         return let(hits(w, F.col("found")), of)
 
-    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_WORD)).cast("long")
+    n_words = F.size(any_words(F.col("text"))).cast("long")
     none = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     return j.select("doc_id", "k", "th", F.when(F.col("found").isNull(), none).otherwise(let(plain_words(F.col("text")), judge)).alias("r")).select("doc_id", "k", "th", "r.*")
 

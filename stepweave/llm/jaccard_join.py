@@ -120,7 +120,7 @@ class Join:
         found = self.keep.table(self.docs.mapInArrow(scan, _SCAN), "scan")
         self.texts = found.where("kind = 0").select("k", "th", "n", "sig")
         some = found.where("kind = 0 and n > 0")
-        self.classes = self.keep.table(some.groupBy("sig").agg(F.min(F.struct("k", "th")).alias("o"), F.first("n").alias("n"), F.first("hist").alias("hist")).select("sig", "o.k", "o.th", "n", "hist"), "classes")
+        self.classes = self.keep.table(some.groupBy("sig").agg(F.min(F.struct("k", "th")).alias("o"), F.first("n").alias("n"), F.first("hist").alias("hist")).select("sig", "o.k", "o.th", "n", "hist"), "classes", packed=True)
         size = (1 << bits) // _SHARDS
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ class Join:
     def _fragments(self, sigs: DataFrame) -> DataFrame:
         """(sig, f, part): the sets of these classes, cut at the pivots."""
         wanted = sigs.join(self.classes.select("sig", "k", "th"), "sig")
-        wanted = self.keep.table(wanted, f"wanted_{self.round}")
+        wanted = self.keep.table(wanted, f"wanted_{self.round}", packed=True)
         if wanted.count() <= BROADCAST_TEXTS:
             wanted = F.broadcast(wanted)
         order, gram = self.order, self.gram
@@ -219,12 +219,12 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sig", "f", "part"])
 
         texts = self.docs.join(wanted, ["k", "th"]).select("sig", "text")
-        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>").dropDuplicates(["sig", "f"]), f"fragments_{self.round}")
+        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>").dropDuplicates(["sig", "f"]), f"fragments_{self.round}", packed=True)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, overlap) that are links."""
         self.round = getattr(self, "round", 0) + 1
-        pairs = self.keep.table(self._possible(pairs), f"possible_{self.round}")
+        pairs = self.keep.table(self._possible(pairs), f"possible_{self.round}", packed=True)
         parts = self._fragments(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
         x = parts.select(F.col("sig").alias("a"), "f", F.col("part").alias("x"))
         y = parts.select(F.col("sig").alias("b"), "f", F.col("part").alias("y"))
@@ -248,15 +248,15 @@ class Join:
         """(node, component) of the classes that have a link."""
         keep, post = self.keep, self.postings()
         least = post.groupBy("h").agg(F.min(F.struct("sig", "n", "i")).alias("o"), F.max("sig").alias("hi")).where("o.sig <> hi").select("h", F.col("o.sig").alias("a"), F.col("o.n").alias("na"), F.col("o.i").alias("ia"))
-        lists = keep.table(post.join(least, "h").distinct(), "lists")  # of two classes or more, each with its least
-        tried = keep.table(self._near(lists.where("a <> sig").select("a", "na", "ia", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))), "star")
-        links = keep.table(self.verified(tried), "star_links")
-        found = components(keep, links, "star")
+        lists = keep.table(post.join(least, "h").distinct(), "lists", packed=True)  # of two classes or more, each with its least
+        tried = keep.table(self._near(lists.where("a <> sig").select("a", "na", "ia", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))), "star", packed=True)
+        links = keep.table(self.verified(tried), "star_links", packed=True)
+        found = components(keep, links, "star", packed=True)
         c = lists.join(found, F.col("sig") == F.col("node"), "left").select("h", "i", "n", "sig", F.coalesce("component", "sig").alias("c"))
-        c = keep.table(c, "grouped")
+        c = keep.table(c, "grouped", packed=True)
         mixed = c.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
         rest = self._near(self._pairs(c.join(mixed, "h"))).join(tried, ["a", "b"], "left_anti")
-        more = keep.table(self.verified(keep.table(rest, "rest")), "rest_links")
+        more = keep.table(self.verified(keep.table(rest, "rest", packed=True)), "rest_links", packed=True)
         return components(keep, links.unionByName(more), "all")
 
 

@@ -12,12 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import MAX_LONG, SPACES
-
-
-def word_count(text: Column) -> Column:
-    """Runs of characters other than ASCII white space; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+from .words import MAX_LONG, SPACES, count_words
 
 
 def weights_by_rank(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -62,7 +57,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty texts have size 0 and take nothing; a null source is a source; a null
     id and rows that share an id draw alike.  Other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col).cast("string")).alias("size"))
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(weights_by_rank(sums, cycle), max_epochs).select(F.col("source").alias("of"), "source_size", "target")
     j = base.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")

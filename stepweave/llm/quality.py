@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import MAX_LONG, SPACE_CLASS, SPACES, ascii_lower, let, space_words
+from .words import MAX_LONG, SPACE_CLASS, SPACES, ascii_lower, count_words, let, space_words
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -62,7 +62,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(k, th, host, line, words): each distinct normalised line of a document with its words, repeats summed."""
     parts = F.transform(
         F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
-        lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")).alias("words")),
+        lambda x: F.struct(line_hash(x).alias("line"), count_words(x).alias("words")),
     )
     return docs.select("k", "th", "host", F.explode(parts).alias("p")).select("k", "th", "host", "p.line", "p.words")
 

@@ -44,9 +44,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/stepweave-{uuid.uuid4().hex}"
         _made.append((spark, self.root))
 
-    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        """Write ``df`` once and read it back."""
+    def table(self, df: DataFrame, name: str, compression: str = "snappy", packed: bool = False) -> DataFrame:
+        """Write ``df`` once and read it back. ``packed``: in files of four shuffle partitions each, for results of a shuffle that are small."""
         path = f"{self.root}/{name}"
+        if packed:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
