@@ -31,7 +31,8 @@ from .rolling import U
 from .scratch import Scratch
 from .substring_dedup import keyed
 
-HISTOGRAM = 64
+#: Bins of a set's histogram: bytes for sets below LONG n-grams, else LONG_HISTOGRAM of two bytes.
+HISTOGRAM, LONG_HISTOGRAM, LONG = 64, 256, 2000
 FRAGMENTS = 4
 #: Rows of (k, th) up to which the wanted texts are broadcast rather than shuffled.
 BROADCAST_TEXTS = 300_000
@@ -59,6 +60,19 @@ def set_hash(s: np.ndarray) -> np.uint64:
     return np.add.reduce(rolling.mix(s ^ U(0x5851F42D4C957F2D)))
 
 
+def histogram(s: np.ndarray) -> bytes:
+    bins, top, kind = (HISTOGRAM, 255, np.uint8) if len(s) < LONG else (LONG_HISTOGRAM, 65535, np.uint16)
+    return np.minimum(np.bincount(((s >> U(20)) & U(bins - 1)).astype(np.int64), minlength=bins), top).astype(kind).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the n-grams that are in one of two sets only."""
+    a, b = (np.frombuffer(h, np.uint8 if len(h) == HISTOGRAM else np.uint16).astype(np.int64) for h in (x, y))
+    if len(a) != len(b):  # the finer one has four bins for each of the other's
+        a, b = (np.minimum(h.reshape(-1, HISTOGRAM).sum(axis=0), 255) for h in (a, b))
+    return int(np.abs(a - b).sum())
+
+
 class _Order:
     """The global order: a class of frequency for each hash bucket, and pivots that cut the order into fragments of equal weight."""
 
@@ -109,7 +123,7 @@ class Join:
                 for row, s in sets_of(batch.column(2), gram):
                     np.add.at(counts, s >> U(64 - bits), 1)
                     n[row], sig[row] = len(s), set_hash(s)
-                    hist[row] = np.minimum(np.bincount(((s >> U(20)) & U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+                    hist[row] = histogram(s)
                 none = [None] * batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), pa.array(n), rolling.signed(sig), pa.array(hist, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=_SCAN_ARROW)
             if counts.any():
@@ -192,10 +206,10 @@ class Join:
         def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for i in (4, 5))
                     n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
                     # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|)
-                    ok = np.abs(x - y).sum(axis=1) * (100 + percent) <= n * (100 - percent)
+                    apart = np.array([least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+                    ok = apart * (100 + percent) <= n * (100 - percent)
                     yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
 
         return j.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(differ, "a long, b long, na int, nb int")
@@ -219,7 +233,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sig", "f", "part"])
 
         texts = self.docs.join(wanted, ["k", "th"]).select("sig", "text")
-        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>").dropDuplicates(["sig", "f"]), f"fragments_{self.round}", packed=True)
+        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>"), f"fragments_{self.round}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, overlap) that are links."""
@@ -228,8 +242,9 @@ class Join:
         parts = self._fragments(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
         x = parts.select(F.col("sig").alias("a"), "f", F.col("part").alias("x"))
         y = parts.select(F.col("sig").alias("b"), "f", F.col("part").alias("y"))
-        each = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("c"))
-        sums = each.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
+        each = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).alias("c"))
+        # a row that stands twice has its fragments twice
+        sums = each.groupBy("a", "b", "na", "nb", "f").agg(F.max("c").alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
         return sums.where(100 * F.col("overlap") >= self.percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
     def _pairs(self, post: DataFrame) -> DataFrame:
