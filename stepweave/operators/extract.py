@@ -73,6 +73,16 @@ def shaped(x: dict | None) -> dict:
     return {k: x[k] if isinstance(x.get(k), list) else [] for k in ("steps", "preconditions", "constraints", "edges")}
 
 
+def parsed(reply: Column) -> Column:
+    """The graph in a reply, with every list present; empty lists where there is none. Batches go to Python by Arrow."""
+
+    @F.pandas_udf("string")
+    def tidy(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: json.dumps(shaped(lenient_json(x))))
+
+    return F.from_json(tidy(reply), schemas.struct(f"graph {schemas.GRAPH}").fields[0].dataType)
+
+
 def prompt(title: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", F.lit(PROMPT), F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Text:\n"), text))
 

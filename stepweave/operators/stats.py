@@ -123,11 +123,16 @@ def sampling_coverage(cells: DataFrame, by: str = "chunker") -> DataFrame:
 
 
 def sign_test(wins_: Column, losses: Column) -> Column:
-    """Two-sided p of a fair coin, in closed form by the sum of binomials."""
-    n, k = wins_ + losses, F.least(wins_, losses)
-    choose = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(1.0), lambda a, j: F.when(i == 0, 1.0).otherwise(a * (n - i + j) / j))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda a, i: a + choose(i))
-    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
+    """Two-sided p of a fair coin: the sum of binomials, each from the last by its logarithm, so that many pairs do not overflow."""
+    n, k = (wins_ + losses).cast("double"), F.least(wins_, losses).cast("long")
+    first = F.struct((-n * F.lit(math.log(2.0))).alias("l"), F.exp(-n * F.lit(math.log(2.0))).alias("s"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["l"] + F.log((n - i + 1) / i)
+        return F.struct(term.alias("l"), (acc["s"] + F.exp(term)).alias("s"))
+
+    tail = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), first, lambda acc, i: F.when(i > k, acc).otherwise(add(acc, i)), lambda acc: acc["s"])
+    return F.least(F.lit(1.0), 2 * tail)
 
 
 def expected_false(tests: int, alpha: float = ALPHA) -> float:

@@ -56,9 +56,8 @@ def chunk_fixed(spark, sf):
 
 @query(f"""SELECT source, count(*) AS n_chunks, round(avg(greatest(1, length(x) // 4)), 4) AS mean_tokens FROM ({_FIXED}) WHERE {_NOT_BLANK} GROUP BY source""")
 def chunk_fixed_summary(spark, sf):
-    d = docs(spark, sf)
-    c = chunkers.fixed(d.withColumn("key", F.struct("doc", "source").cast("string")).withColumn("doc", F.to_json(F.struct("doc", "source"))))
-    return c.groupBy(F.get_json_object("doc", "$.source").alias("source")).agg(F.count("*").alias("n_chunks"), F.round(F.avg("meta.approx_tokens"), 4).alias("mean_tokens"))
+    c = chunkers.fixed(docs(spark, sf), doc_col="source")
+    return c.groupBy(F.col("doc").alias("source")).agg(F.count("*").alias("n_chunks"), F.round(F.avg("meta.approx_tokens"), 4).alias("mean_tokens"))
 
 
 def _chunks(name: str):
@@ -70,9 +69,16 @@ def _chunks(name: str):
     return run
 
 
-for _n in ("recursive", "semantic", "layout_aware", "pac"):
+for _n in ("recursive", "semantic", "pac"):
     query()(_chunks(_n))
 
+query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, x, greatest(1, length(x) // 4) AS c FROM (SELECT doc_id, pos, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM l) WHERE x <> ''),
+f(doc_id, i, idx, used) AS (SELECT doc_id, i, 0::BIGINT, c FROM p WHERE i = 0
+  UNION ALL SELECT p.doc_id, p.i, f.idx + CASE WHEN f.used + p.c > 512 THEN 1 ELSE 0 END, CASE WHEN f.used + p.c > 512 THEN p.c ELSE f.used + p.c END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1)
+SELECT doc_id::VARCHAR AS doc, idx, length(body) AS n_chars, approx_tokens, start_block, end_block, md5(body) AS digest FROM (
+  SELECT f.doc_id, f.idx, string_agg(x, chr(10) || chr(10) ORDER BY f.i) AS body, sum(c)::BIGINT AS approx_tokens, min(f.i)::INTEGER AS start_block, max(f.i)::INTEGER AS end_block FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i GROUP BY 1, 2)""")(_chunks("layout_aware"))
+
 _SENT = r"regexp_replace(text, '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g')"
 
 
@@ -96,41 +102,42 @@ def paragraph_spans(spark, sf):
     return s.groupBy("s.kind").agg(F.count("*").alias("n"), F.sum(F.length("s.text")).alias("chars"))
 
 
-_DIST = "SELECT label, vec_id, 1 - list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda x: x::DOUBLE)) AS d FROM embeddings"
+# A document: 100 vectors in a row, each a sentence's.
+_DIST = "SELECT vec_id // 100 AS doc, vec_id, 1 - list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(lead(embedding) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id), lambda x: x::DOUBLE)) AS d FROM embeddings"
 
 
 def _distances(spark, sf):
-    w = Window.partitionBy("label").orderBy("vec_id")
+    w = Window.partitionBy("doc").orderBy("vec_id")
     nxt = F.lead("embedding").over(w)
-    return t(spark, sf, "embeddings").withColumn("nxt", nxt).select("label", "vec_id", (1 - metrics.dot(F.col("embedding"), F.col("nxt"))).alias("d"))
+    return t(spark, sf, "embeddings").withColumn("doc", F.expr("vec_id div 100")).withColumn("nxt", nxt).select("doc", "vec_id", (1 - metrics.dot(F.col("embedding"), F.col("nxt"))).alias("d"))
 
 
-@query(f"""WITH e AS ({_DIST}), q AS (SELECT label, quantile_cont(d, 0.95) AS th FROM e WHERE d IS NOT NULL GROUP BY label) SELECT e.label, vec_id, round(d, 6) AS d, round(th, 6) AS th FROM e JOIN q USING (label) WHERE d >= th""")
+@query(f"""WITH e AS ({_DIST}), q AS (SELECT doc, quantile_cont(d, 0.95) AS th FROM e WHERE d IS NOT NULL GROUP BY doc) SELECT e.doc, vec_id, round(d, 6) AS d, round(th, 6) AS th FROM e JOIN q USING (doc) WHERE d >= th""")
 def semantic_breakpoints(spark, sf):
     d = _distances(spark, sf).where("d is not null")
-    th = d.groupBy("label").agg(F.percentile("d", F.lit(0.95)).alias("th"))
-    return d.join(th, "label").where("d >= th").select("label", "vec_id", F.round("d", 6).alias("d"), F.round("th", 6).alias("th"))
+    th = d.groupBy("doc").agg(F.percentile("d", F.lit(0.95)).alias("th"))
+    return d.join(th, "doc").where("d >= th").select("doc", "vec_id", F.round("d", 6).alias("d"), F.round("th", 6).alias("th"))
 
 
-@query(f"""WITH e AS ({_DIST}), q AS (SELECT label, quantile_cont(d, 0.95) AS th FROM e WHERE d IS NOT NULL GROUP BY label),
-c AS (SELECT e.label, vec_id, CASE WHEN d >= th THEN 1 ELSE 0 END AS cut FROM e JOIN q USING (label)),
-i AS (SELECT label, vec_id, coalesce(sum(cut) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM c)
-SELECT label, cast(island AS BIGINT) AS island, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM i GROUP BY label, island""")
+@query(f"""WITH e AS ({_DIST}), q AS (SELECT doc, quantile_cont(d, 0.95) AS th FROM e WHERE d IS NOT NULL GROUP BY doc),
+c AS (SELECT e.doc, vec_id, CASE WHEN d >= th THEN 1 ELSE 0 END AS cut FROM e JOIN q USING (doc)),
+i AS (SELECT doc, vec_id, coalesce(sum(cut) OVER (PARTITION BY doc ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM c)
+SELECT doc, cast(island AS BIGINT) AS island, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM i GROUP BY doc, island""")
 def semantic_islands(spark, sf):
     d = _distances(spark, sf)
-    th = d.groupBy("label").agg(F.percentile("d", F.lit(0.95)).alias("th"))
-    before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
-    i = d.join(th, "label").withColumn("island", F.coalesce(F.sum(F.when(F.col("d") >= F.col("th"), 1).otherwise(0)).over(before), F.lit(0)))
-    return i.groupBy("label", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    th = d.groupBy("doc").agg(F.percentile("d", F.lit(0.95)).alias("th"))
+    before = Window.partitionBy("doc").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    i = d.join(th, "doc").withColumn("island", F.coalesce(F.sum(F.when(F.col("d") >= F.col("th"), 1).otherwise(0)).over(before), F.lit(0)))
+    return i.groupBy("doc", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
-@query("""SELECT a.vec_id AS g, b.vec_id AS p, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+@query("""SELECT a.vec_id AS g, b.vec_id AS p, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id
 WHERE list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) >= 0.35""")
 def cosine_align(spark, sf):
-    """Pairs within one document (here: label) only."""
-    e = t(spark, sf, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("g"), F.col("embedding").alias("x")), e.select(F.col("label").alias("l2"), F.col("vec_id").alias("p"), F.col("embedding").alias("y"))
-    j = a.join(b, (F.col("label") == F.col("l2")) & (F.col("g") < F.col("p"))).withColumn("sim", metrics.dot(F.col("x"), F.col("y")))
+    """Pairs of nodes of one document; a document has 20 nodes, so pairs grow with the documents."""
+    e = t(spark, sf, "embeddings").withColumn("doc", F.expr("vec_id div 20"))
+    a, b = e.select("doc", F.col("vec_id").alias("g"), F.col("embedding").alias("x")), e.select("doc", F.col("vec_id").alias("p"), F.col("embedding").alias("y"))
+    j = a.join(b, "doc").where("g < p").withColumn("sim", metrics.dot(F.col("x"), F.col("y")))
     return j.where(F.col("sim") >= 0.35).select("g", "p", F.round("sim", 5).alias("sim"))
 
 
@@ -314,9 +321,47 @@ def wilcoxon_w(spark, sf):
     return stats.wilcoxon_w(_deltas(spark, sf), ["baseline"]).withColumn("z", F.round("z", 6))
 
 
-@query()
+def _erfc_sql(x: str) -> str:
+    """erfc of a positive x by its power series."""
+    return f"1 - 2 / sqrt(pi()) * list_sum(list_transform(generate_series(0, 200), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln({x}) - lgamma(k + 1.0)) / (2 * k + 1)))"
+
+
+_WILCOXON = f"""WITH r AS (SELECT baseline, delta, rank() OVER (PARTITION BY baseline ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY baseline, abs(delta)) - 1) / 2.0 AS r FROM ({_DELTAS}) WHERE delta <> 0),
+s AS (SELECT baseline, count(*) AS n, least(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), sum(CASE WHEN delta < 0 THEN r ELSE 0 END))::DOUBLE AS w FROM r GROUP BY 1),
+z AS (SELECT baseline, n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) AS z FROM s)
+SELECT baseline, n, w, z, {_erfc_sql("greatest(abs(z), 1e-12) / sqrt(2)")} AS p FROM z"""
+
+
+@query(f"SELECT baseline, n, w, round(z, 6) AS z, round(p, 6) AS p FROM ({_WILCOXON})")
 def wilcoxon_p(spark, sf):
-    return stats.wilcoxon(_deltas(spark, sf), ["baseline"])
+    return stats.wilcoxon(_deltas(spark, sf), ["baseline"]).withColumns({"z": F.round("z", 6), "p": F.round("p", 6)})
+
+
+_WINS = f"SELECT baseline, count(*) AS n_paired, avg(delta) AS mean_delta, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta = 0) AS ties, count(*) FILTER (delta < 0) AS losses FROM ({_DELTAS}) GROUP BY 1"
+
+
+@query(f"SELECT baseline, 'm' AS metric, printf('%-14s %-24s %+8.4f  %d/%d/%d  p=%.4f %s', baseline, 'm', round(mean_delta, 2), wins, ties, losses, p, CASE WHEN p < 0.05 THEN '*' ELSE ' ' END) AS line FROM ({_WINS}) JOIN ({_WILCOXON}) USING (baseline)")
+def headline_lines(spark, sf):
+    c = _orders(spark, sf).groupBy("doc", "chunker").agg(F.round(F.avg("m"), 2).alias("m"))
+    return stats.headline(stats.comparison(c, "1-URGENT", measures=("m",)).withColumn("mean_delta", F.round("mean_delta", 2)))
+
+
+@query(f"""SELECT baseline, wins, losses, round(least(1.0, 2 * list_sum(list_transform(generate_series(0, least(wins, losses)), lambda i: exp(lgamma(wins + losses + 1.0) - lgamma(i + 1.0) - lgamma(wins + losses - i + 1.0) - (wins + losses) * ln(2))))), 6) AS p FROM ({_WINS})""")
+def sign_test_p(spark, sf):
+    return stats.wins(_deltas(spark, sf), ["baseline"]).select("baseline", "wins", "losses", F.round(stats.sign_test(F.col("wins"), F.col("losses")), 6).alias("p"))
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("WITH c AS (SELECT o_custkey AS doc, count(DISTINCT o_orderdate) AS whole, count(DISTINCT o_orderstatus) AS thorough, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{p}') AS c{i}" for i, p in enumerate(_PRIORITIES)) + " FROM orders GROUP BY 1) SELECT *, round((" + " + ".join(f"c{i}" for i in range(5)) + ") / 5 / whole, 6) AS ratio FROM c")
+def idempotency_table(spark, sf):
+    """Counts of the chunkers (here: priorities) beside those of the whole document (here: customer)."""
+    o = t(spark, sf, "orders")
+    whole = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.count_distinct("o_orderdate").alias("whole"), F.count_distinct("o_orderstatus").alias("thorough"))
+    each = o.groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("chunker")).agg(F.count("*").alias("n_steps"))
+    wide = stats.idempotency(each.join(whole, "doc"), list(_PRIORITIES))
+    return wide.select("doc", "whole", "thorough", *(F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"c{i}") for i, p in enumerate(_PRIORITIES)), F.round("ratio", 6).alias("ratio"))
 
 
 @query()
@@ -340,9 +385,9 @@ def hash_dedup(spark, sf):
     return profile.first_by_hash(docs(spark, sf), "text", ["doc"]).select("sha256", "doc")
 
 
-@query("SELECT doc_id AS doc, length(text) AS n_chars, length(text) > 2000 AS truncated, md5(substr(text, 1, 2000)) AS digest FROM documents")
+@query("SELECT doc_id AS doc, length(text) AS n_chars, length(text) > 400000 AS truncated, md5(substr(text, 1, 400000)) AS digest FROM documents")
 def truncating_scan(spark, sf):
-    return files.truncated(docs(spark, sf), 2000).select("doc", "n_chars", "truncated", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return files.truncated(docs(spark, sf)).select("doc", "n_chars", "truncated", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn AND d.role = 'assistant')")
@@ -374,24 +419,137 @@ def _turn_graphs(spark, sf):
     return t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("role").alias("chunker"), F.col("turn").cast("int").alias("chunk_idx"), g.alias("graph"))
 
 
-@query()
+def _merged_sql(threshold: str = "(SELECT 0.78 AS th)") -> str:
+    """Steps kept of each cell: one step a turn, compared with the last 12 kept."""
+    same = "CASE WHEN len(b.bag) = 0 OR len(t.bag) = 0 THEN 0 ELSE len(list_intersect(b.bag, t.bag)) / (len(b.bag) + len(t.bag) - len(list_intersect(b.bag, t.bag))) END"
+    twin = f"coalesce(list_max(list_transform(f.kept[-12:], lambda b: {same})), 0) >= f.th"
+    return rf"""t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS i, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS bag FROM conversations),
+f(th, conv_id, role, i, kept) AS (SELECT th, conv_id, role, i, [{{'id': 'c0_s1', 'bag': bag}}] FROM t, {threshold} WHERE i = 0
+  UNION ALL SELECT f.th, t.conv_id, t.role, t.i, CASE WHEN {twin} THEN f.kept ELSE list_append(f.kept, {{'id': 'c' || t.i || '_s1', 'bag': t.bag}}) END FROM f JOIN t ON t.conv_id = f.conv_id AND t.role = f.role AND t.i = f.i + 1),
+m AS (SELECT th, conv_id, role, max(i) + 1 AS n_in, arg_max(kept, i) AS kept FROM f GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {_merged_sql()} SELECT conv_id::VARCHAR AS doc, role AS chunker, len(kept)::INTEGER AS n_steps, (len(kept) - 1)::INTEGER AS n_edges, (n_in - len(kept))::INTEGER AS duplicate_count, 0 AS dropped_edge_count FROM m")
 def merge_graphs(spark, sf):
     m = merge.merge_cells(merge.gather(_turn_graphs(spark, sf)))
     return m.select("doc", "chunker", F.size("steps").alias("n_steps"), F.size("edges").alias("n_edges"), "duplicate_count", "dropped_edge_count")
 
 
-@query()
+@query(f"WITH RECURSIVE {_merged_sql('(SELECT unnest([0.65, 0.70, 0.78, 0.85, 0.90])::DOUBLE AS th)')} SELECT th AS threshold, role AS chunker, round(avg(len(kept)), 6) AS mean_steps, round(sum(len(kept)) / sum(n_in), 6) AS retention FROM m GROUP BY 1, 2")
 def merge_sweep(spark, sf):
-    return merge.sweep(merge.gather(_turn_graphs(spark, sf)))
+    return merge.sweep(merge.gather(_turn_graphs(spark, sf))).withColumns({"mean_steps": F.round("mean_steps", 6), "retention": F.round("retention", 6)})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_merged_sql()},
+g AS (SELECT conv_id, unnest(kept) AS x FROM m WHERE role = 'user'), p AS (SELECT conv_id, unnest(kept) AS y FROM m WHERE role = 'assistant'),
+s AS (SELECT conv_id, x.id AS g, y.id AS p, len(list_intersect(x.bag, y.bag)) / (len(x.bag) + len(y.bag) - len(list_intersect(x.bag, y.bag))) AS sim FROM g JOIN p USING (conv_id) WHERE len(x.bag) > 0 AND len(y.bag) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY sim DESC, g DESC, p DESC) AS r FROM s WHERE sim >= 0.1),
+a(conv_id, r, g, p, sim, ok, gs, ps) AS (SELECT conv_id, r, g, p, sim, TRUE, [g], [p] FROM o WHERE r = 1
+  UNION ALL SELECT o.conv_id, o.r, o.g, o.p, o.sim, NOT (list_contains(gs, o.g) OR list_contains(ps, o.p)), CASE WHEN list_contains(gs, o.g) OR list_contains(ps, o.p) THEN gs ELSE list_append(gs, o.g) END,
+  CASE WHEN list_contains(gs, o.g) OR list_contains(ps, o.p) THEN ps ELSE list_append(ps, o.p) END FROM a JOIN o ON o.conv_id = a.conv_id AND o.r = a.r + 1)
+SELECT conv_id::VARCHAR AS doc, g, p, round(sim, 6) AS sim FROM a WHERE ok""")
 def greedy_match(spark, sf):
     m = merge.merge_cells(merge.gather(_turn_graphs(spark, sf))).select("doc", "chunker", "steps")
     j = m.where("chunker = 'user'").select("doc", F.col("steps").alias("g")).join(m.where("chunker = 'assistant'").select("doc", F.col("steps").alias("p")), "doc")
     return j.select("doc", F.explode(metrics.align_words(F.col("g"), F.col("p"), 0.1)).alias("m")).select("doc", "m.g", "m.p", F.round("m.sim", 6).alias("sim"))
 
 
+@query(f"SELECT doc_id AS doc, md5(concat_ws(chr(10) || chr(10), '{extract.PROMPT}', 'Title: ' || coalesce(source, ''), 'Text:' || chr(10) || text)) AS digest FROM documents")
+def prompt_digest(spark, sf):
+    return docs(spark, sf).select("doc", F.md5(extract.prompt(F.col("source"), F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT conv_id, turn, role, 1 AS n_steps, turn::VARCHAR AS step FROM conversations")
+def reply_parse(spark, sf):
+    """Replies that are JSON, JSON in a fence, or JSON within prose, each with one step."""
+    body = F.concat(F.lit('{"steps": [{"id": "s1", "text": "'), F.col("turn").cast("string"), F.lit('"}]}'))
+    reply = F.when(F.col("role") == "assistant", F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\n"))).when(F.col("role") == "user", F.concat(F.lit("Found "), body, F.lit(" {in} all."))).otherwise(body)
+    g = t(spark, sf, "conversations").select("conv_id", "turn", "role", extract.parsed(reply).alias("g"))
+    return g.select("conv_id", "turn", "role", F.size("g.steps").alias("n_steps"), F.col("g.steps")[0]["text"].alias("step"))
+
+
+@query("SELECT conv_id AS doc, role AS chunker, sum(coalesce(length(text) // 4, 0))::BIGINT AS input_tokens, sum(turn)::BIGINT AS output_tokens, 0::BIGINT AS cached_tokens, count(*) FILTER (text IS NULL OR length(text) > 200) AS n_errors FROM conversations GROUP BY 1, 2")
+def token_accounting(spark, sf):
+    """Tokens and errors of the calls of each cell; a turn stands for a call."""
+    c = t(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("role").alias("chunker"), F.expr("length(text) div 4").alias("input_tokens"), F.col("turn").alias("output_tokens"), F.lit(None).cast("long").alias("cached_tokens"), F.when(F.col("text").isNull() | (F.length("text") > 200), "too long").alias("error"))
+    return extract.accounting(c)
+
+
+_NAMED = r"regexp_replace(regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '([^/]*)/*$', 1), '(.)\.[^.]+$', '\1')"
+
+
+@query(rf"SELECT page_id, substr(coalesce(array_to_string(list_transform(regexp_extract_all(regexp_replace(translate({_NAMED}, '_-', '  '), '^\s+|\s+$', '', 'g'), '\p{{L}}+|\P{{L}}+'), lambda x: upper(x[1]) || lower(x[2:])), ''), ''), 1, 200) AS title FROM pages")
+def page_titles(spark, sf):
+    return t(spark, sf, "pages").select("page_id", profile.title_of(F.col("url")).alias("title"))
+
+
+@query("SELECT coalesce(nullif(lang, 'en'), CASE " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{n}'" for n, w in profile.DOMAINS.items()) + " ELSE 'general' END) AS domain, count(*) AS n FROM (SELECT lang, lower(source || ' ' || '' || ' ' || text) AS b FROM documents) GROUP BY 1")
+def domain_hints(spark, sf):
+    """Languages other than English stand for the domains that a source gives itself."""
+    d = t(spark, sf, "documents").select(F.expr("nullif(lang, 'en')").alias("hint"), profile.domain(F.col("source"), F.lit(""), F.col("text")).alias("domain"))
+    return profile.with_hints(d, "hint", "domain").groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS doc, md5(array_to_string(string_split(text, chr(10))[1:40], chr(10))) AS digest FROM documents")
+def first_pages(spark, sf):
+    """Text of the first 40 pages; a line stands for a page."""
+    return docs(spark, sf).select("doc", F.md5(profile.first_pages(F.split("text", LINE, -1)).cast("binary")).alias("digest"))
+
+
+_STORED = "SELECT sha256(text) AS sha256, source, '/store/' || CASE WHEN lang = 'en' THEN source ELSE lang END || '/' || doc_id AS path FROM documents"
+
+
+@query(f"""SELECT sha256, source, path FROM (SELECT w.sha256, w.source, f.path, row_number() OVER (PARTITION BY w.sha256, w.source ORDER BY CASE WHEN contains(f.path, '/' || w.source || '/') THEN 0 ELSE 1 END, f.path) AS r
+FROM (SELECT DISTINCT sha256, source FROM ({_STORED})) w JOIN ({_STORED}) f ON f.sha256 = w.sha256) WHERE r = 1""")
+def locate_by_hash(spark, sf):
+    """The file of each wanted content, from the source's own folder where it has one."""
+    d = t(spark, sf, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "source", F.concat(F.lit("/store/"), F.when(F.col("lang") == "en", F.col("source")).otherwise(F.col("lang")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return files.locate(d.select("sha256", "source"), d.select("sha256", "path")).select("sha256", "source", "path")
+
+
+_GOLD = "SELECT conv_id, count(*) FILTER (role = 'user') AS s, count(*) FILTER (role = 'system') AS p, min(role) AS kind FROM conversations GROUP BY 1"
+
+
+def _golds(spark, sf):
+    """A conversation as a gold graph: the user's turns are steps, the system's are preconditions."""
+    row = F.struct(F.col("turn").cast("string").alias("id"), "text")
+    of = lambda r: F.collect_list(F.when(F.col("role") == r, row))
+    g = t(spark, sf, "conversations").groupBy("conv_id").agg(of("user").alias("steps"), of("system").alias("preconditions"), F.min("role").alias("kind"))
+    return g.select(F.col("conv_id").alias("doc"), "kind", F.struct("steps", "preconditions").alias("gold"))
+
+
+@query(f"SELECT kind, count(*) AS n, round(avg(s), 6) AS mean_steps, count(*) FILTER (s = 0) AS n_empty, round(avg(p), 6) AS mean_preconditions, count(*) FILTER (p > 0) AS n_with_precondition FROM ({_GOLD}) GROUP BY 1")
+def oracle_profile(spark, sf):
+    p = stats.oracle_profile(_golds(spark, sf), ["kind"])
+    return p.withColumns({"mean_steps": F.round("mean_steps", 6), "mean_preconditions": F.round("mean_preconditions", 6)})
+
+
+@query(f"SELECT conv_id AS doc, s::INTEGER AS n_steps FROM ({_GOLD}) WHERE s > 0")
+def scored_golds(spark, sf):
+    return stats.scored(_golds(spark, sf)).select("doc", F.size("gold.steps").alias("n_steps"))
+
+
+@query(f"""SELECT source AS chunker, round(sum(least(n, 20)) / sum(n), 6) AS coverage FROM (SELECT doc, source, count(*) AS n FROM ({_FIXED}) WHERE {_NOT_BLANK} GROUP BY 1, 2) GROUP BY 1""")
+def sampling_coverage(spark, sf):
+    """Share of the chunks that the samples take, by source."""
+    c = chunkers.fixed(docs(spark, sf)).groupBy("doc").agg(F.count("*").alias("n_chunks"))
+    cells = c.join(docs(spark, sf).select(F.col("doc").cast("string").alias("doc"), F.col("source").alias("chunker")), "doc").withColumn("n_sampled", F.least("n_chunks", F.lit(extract.SAMPLE)))
+    return stats.sampling_coverage(cells).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("SELECT source, count(*) FILTER (length(text) > 200) AS ok, count(*) FILTER (text IS NULL) AS miss, count(*) FILTER (length(text) <= 200) AS err FROM documents GROUP BY 1")
+def extraction_outcomes(spark, sf):
+    """Outcomes of reading; a text of 200 characters or fewer stands for a failure."""
+    return stats.outcome_counts(docs(spark, sf).withColumn("status", F.when(F.col("text").isNull(), "miss").when(F.length("text") > 200, "ok").otherwise("err")), ["source"])
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_events(spark, sf):
+    return streaming.sessions(t(spark, sf, "events"))
+
+
 @query()
 def experiment_measures(spark, sf):
     """Chunk, sample, extract by rules, merge, and compare with the whole text's graph."""

@@ -75,7 +75,8 @@ def binaries(spark: SparkSession, path: str) -> DataFrame:
 def locate(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the path of a file with the wanted hash, one in the source's own folder first."""
     own = F.when(F.col("path").contains(F.concat(F.lit("/"), F.col("source"), F.lit("/"))), 0).otherwise(1)
-    j = wanted.join(files.select(F.col("sha256").alias("_h"), "path"), F.col("sha256") == F.col("_h"))
+    # wanted pairs once each: copies of one content would else meet one another
+    j = wanted.select("sha256", "source").distinct().join(files.select(F.col("sha256").alias("_h"), "path"), F.col("sha256") == F.col("_h"))
     return j.groupBy("sha256", "source").agg(F.min(F.struct(own.alias("o"), "path"))["path"].alias("path"))
 
 

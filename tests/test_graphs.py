@@ -91,3 +91,15 @@ def test_resume_and_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text('url,source,domain,title,page_count,estimated_steps,length_bucket,language,has_steps,has_safety_clauses,license,redistribute_ok,bytes,sha256\nu,osha,food,"a ""b"", c",3,4,short,en,True,False,x,yes,10,ab\n')
     r = files.manifest(spark, str(tmp_path / "m.csv")).first()
     assert r.title == 'a "b", c' and r.page_count == 3 and r.has_steps is True
+
+
+def test_sign_test_of_many_pairs_does_not_overflow(spark):
+    d = spark.createDataFrame([(2600, 2400), (0, 0), (4, 4), (0, 3)], "w long, l long")
+    p = [r[0] for r in d.select(stats.sign_test(F.col("w"), F.col("l"))).collect()]
+    assert abs(p[0] - 0.004894) < 1e-4 and p[1:3] == [1.0, 1.0] and abs(p[3] - 0.25) < 1e-12
+
+
+def test_replies_of_every_kind_are_parsed(spark):
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "no json {"), (4, '{"steps": [{"id": "s1", "text": "a"}]}'), (5, '```json\n{"steps": 3}\n```'), (6, 'x {"steps": [{"id": "s1", "text": "b"}], "edges": []} y')], "i int, s string")
+    found = {r.i: (len(r.g.steps), len(r.g.edges)) for r in d.select("i", extract.parsed(F.col("s")).alias("g")).collect()}
+    assert found == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (1, 0)}

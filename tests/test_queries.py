@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave import queries
 from stepweave.operators import profile
+from stepweave.sources import files
 from stepweave.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,15 @@ def test_profile_edges(spark):
     assert got[1].length_bucket == "unknown" and got[2].estimated_steps == 0 and (got[3].step_hits, got[3].has_steps) == (4, True)
     title = spark.range(1).select(profile.title_of(F.lit("https://x.org/a/lab_safety-guide.pdf?x=1"))).first()[0]
     assert title == "Lab Safety Guide"
+
+
+def test_titles_capitalise_after_every_non_letter(spark):
+    urls = ["https://x.org/a/o'neil_3rd-ed.v2.pdf#p", "https://x.org", "https://x.org/.hidden", None, "https://x.org/dir/"]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    assert {r.i: r.t for r in d.select("i", profile.title_of(F.col("url")).alias("t")).collect()} == {0: "O'Neil 3Rd Ed.V2", 1: "", 2: ".Hidden", 3: None, 4: "Dir"}
+
+
+def test_locating_copies_gives_one_file_each(spark):
+    wanted = spark.createDataFrame([("h", "a")] * 3 + [("h", "b"), ("none", "a")], "sha256 string, source string")
+    there = spark.createDataFrame([("h", "/z/a/1"), ("h", "/y/c/2")], "sha256 string, path string")
+    assert sorted(map(tuple, files.locate(wanted, there).collect())) == [("h", "a", "/z/a/1"), ("h", "b", "/y/c/2")]
