@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator call, kept as Parquet under the shared folder.
 
+    Spark removes the shuffle files of a finished step only once the driver has
+    collected the garbage that refers to them, so each written table asks for that.
+
     A call's last tables stay until the driver's Python ends, because the frame
     that the call returns still reads them; ``drop`` removes earlier ones.
     """
@@ -50,6 +53,7 @@ class Scratch:
         if packed:
             df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         df.write.mode("overwrite").option("compression", compression).parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
