@@ -247,6 +247,11 @@ class Join:
         sums = each.groupBy("a", "b", "na", "nb", "f").agg(F.max("c").alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
         return sums.where(100 * F.col("overlap") >= self.percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
+    def _spent(self) -> None:
+        """Drops the tables behind the last ``verified``, once its result is written."""
+        for name in ("wanted", "possible", "fragments"):
+            self.keep.drop(f"{name}_{self.round}")
+
     def _pairs(self, post: DataFrame) -> DataFrame:
         """All pairs of each posting list in different groups ``c``."""
         a, b = (post.select("h", *(F.col(x).alias(y) for x, y in (("sig", s), ("n", f"n{s}"), ("i", f"i{s}"), ("c", f"c{s}")))) for s in "ab")
@@ -264,14 +269,18 @@ class Join:
         keep, post = self.keep, self.postings()
         least = post.groupBy("h").agg(F.min(F.struct("sig", "n", "i")).alias("o"), F.max("sig").alias("hi")).where("o.sig <> hi").select("h", F.col("o.sig").alias("a"), F.col("o.n").alias("na"), F.col("o.i").alias("ia"))
         lists = keep.table(post.join(least, "h").distinct(), "lists", packed=True)  # of two classes or more, each with its least
+        keep.drop("postings")
         tried = keep.table(self._near(lists.where("a <> sig").select("a", "na", "ia", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))), "star", packed=True)
         links = keep.table(self.verified(tried), "star_links", packed=True)
+        self._spent()
         found = components(keep, links, "star")
         c = lists.join(found, F.col("sig") == F.col("node"), "left").select("h", "i", "n", "sig", F.coalesce("component", "sig").alias("c"))
         c = keep.table(c, "grouped", packed=True)
+        keep.drop("lists")
         mixed = c.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
         rest = self._near(self._pairs(c.join(mixed, "h"))).join(tried, ["a", "b"], "left_anti")
         more = keep.table(self.verified(keep.table(rest, "rest", packed=True)), "rest_links", packed=True)
+        self._spent()
         return components(keep, links.unionByName(more), "all")
 
 
