@@ -100,8 +100,9 @@ def _walk(x: int, n: int, ok: Callable[[int], bool], p: Permute) -> int:
 
 
 def _phone(s: str, p: Permute) -> str | None:
-    d = _digits(s)
-    if s.lstrip().startswith("+") and not d.startswith("1"):  # the country's digits stay
+    """A plus or brackets mark a number even outside the numbering plan; such numbers stay among themselves."""
+    d, plus = _digits(s), s.lstrip().startswith("+")
+    if plus and not d.startswith("1"):  # the country's digits stay
         return _fill(s, d[:2] + str(p(int(d[2:]), 10 ** (len(d) - 2))).zfill(len(d) - 2)) if 8 <= len(d) <= 15 else None
     lead, d = ("1", d[1:]) if len(d) == 11 and d[0] == "1" else ("", d)
 
@@ -109,7 +110,10 @@ def _phone(s: str, p: Permute) -> str | None:
         t = str(x).zfill(10)
         return t[0] > "1" and t[3] > "1"
 
-    return _fill(s, lead + str(_walk(int(d), 10**10, ok, p)).zfill(10)) if len(d) == 10 and ok(int(d)) else None
+    if len(d) != 10 or not (ok(int(d)) or plus or "(" in s):
+        return None
+    planned = ok(int(d))
+    return _fill(s, lead + str(_walk(int(d), 10**10, lambda x: ok(x) == planned, p)).zfill(10))
 
 
 def _ip(s: str, p: Permute) -> str | None:
@@ -200,15 +204,20 @@ def _iban(s: str, p: Permute) -> str | None:
     return "".join(c if c == " " else next(out) for c in s)
 
 
+# The usual forms go before looser ones, so that a number beside a card or phone isn't taken as a part of it
+# (but for four digits right before a card in groups of four).
+_USUAL_CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5})(?![0-9])"
+_USUAL_PHONE = r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+_NOT_BESIDE = rf"(?!{_USUAL_PHONE}|[0-9]{{1,6}}[ -](?:{_USUAL_CARD}|{_USUAL_PHONE}))"
 #: Kind, pattern, function. Earlier kinds go first where several begin at one place.
 KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
     ("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ip),
-    ("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])", _card),
+    ("card", rf"(?<![0-9A-Za-z.-])(?:{_USUAL_CARD}|{_NOT_BESIDE}[0-9](?:[ -]?[0-9]){{12,18}})(?![0-9A-Za-z]|[.-][0-9])", _card),
     ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", _ssn),
     ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])", _date),
-    ("phone", r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z]|[.-][0-9])", _phone),
+    ("phone", rf"(?<![0-9A-Za-z.])(?:(?:\+?1[ .-]?)?{_USUAL_PHONE}|{_NOT_BESIDE}(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[ .-]?[0-9]{{2,4}}){{2,4}})(?![0-9A-Za-z]|[.-][0-9])", _phone),
 )
 _SECRET = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?([A-Za-z0-9_+/-]{8,})")
 _WORTH = re.compile(r"[0-9@=]")

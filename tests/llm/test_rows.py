@@ -70,6 +70,15 @@ def test_pseudonyms_keep_format_link_and_undo():
         assert sorted(image) == list(range(n)) and [f.permute(y, n, "t", True) for y in image] == list(range(n))
 
 
+def test_numbers_beside_numbers_and_phones_outside_the_plan_are_hidden():
+    p = pii.Pseudonyms()
+    for v in ("4532015112830366", "4532 0151 1283 0366", "212-555-0100", "+1 (743) 555-3824", "+1 (017) 555-7713", "(132) 555-1352"):
+        for text in (v, f"{v} 12", f"12 {v}", f"see {v} 2024, {v}", f"12345 {v}", f"{v}. {v}"):
+            new, kinds = p.text(text)
+            assert v not in new and len(kinds) == text.count(v) and len(new) == len(text) and p.text(new, undo=True)[0] == text, text
+    assert p.text("132-555-1352 and 4532015112830367") == ("132-555-1352 and 4532015112830367", [])
+
+
 def test_pseudonymise_keeps_columns_and_rows(spark):
     d = spark.createDataFrame([(1, "ip 8.196.197.208", "a"), (1, "ip 8.196.197.208", "a"), (None, None, None), (2, "", "b")], "doc_id long, text string, n_pii string")
     got = sorted(pii.pseudonymise(d).collect(), key=str)
