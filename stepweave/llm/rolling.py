@@ -114,6 +114,14 @@ def fold(h: np.ndarray, m: int) -> np.ndarray:
     return mix(out[:n])
 
 
+def stretches(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hash of each stretch h[starts[i]:starts[i]+counts[i]], by all its units and their order."""
+    up, down = _powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(mix(h) * up[: len(h)], out=total[1:])
+    return mix((total[starts + counts] - total[starts]) * down[starts])
+
+
 def sliding(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     """``pick`` over each ``width`` consecutive entries."""
     span = 1

@@ -196,10 +196,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 100, sket
                 fp, start, size = r["fp"][at], r["start"][at], (r["n"][at] + length - 1).astype(np.int64)
                 row = r["row"][at] + first
                 # of equal runs in the chunk only the first travels with its bytes; the others go whole
-                first_w, last_w = (rolling.fold(units, length)[x] for x in (r["at"][at], r["at"][at] + r["n"][at] - 1))
-                turn = np.lexsort((th[row], start, k[row], size, last_w, first_w, fp))
+                # equal in every string: the first and last don't tell what lies between them
+                strings = rolling.stretches(rolling.fold(units, length), r["at"][at], r["n"][at])
+                turn = np.lexsort((th[row], start, k[row], size, strings, fp))
                 again = np.zeros(len(at), bool)
-                again[turn] = _later([x[turn] for x in (fp, first_w, last_w, size)], [x[turn] for x in (k[row], start, th[row])])
+                again[turn] = _later([x[turn] for x in (fp, strings, size)], [x[turn] for x in (k[row], start, th[row])])
                 body = rolling.slices(data, r["at"][at], np.where(again, 0, size))
                 yield pa.RecordBatch.from_arrays([rolling.signed(fp), pa.array(k[row]), pa.array(th[row]), pa.array(start), pa.array(size), body], names=["fp", "k", "th", "start", "size", "body"])
 

@@ -55,6 +55,16 @@ def test_strings_of_bytes_match_brute_force(spark, texts, shard_bytes):
     assert got == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 300])
+def test_near_copies_of_a_repeated_line_match_brute_force(spark, shard_bytes):
+    line = "| part 0017 | torque 12 Nm | see note |\n"
+    edited = lambda at, by: line * at + line.replace("0017", by) + line * (19 - at)
+    rows = [(3, line * 20), (5, edited(10, "0018")), (7, edited(10, "0019")), (8, edited(11, "0018")), (9, "Head\n" + edited(9, "0020") + "\nBetween\n" + edited(9, "0021"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(spark, docs, shard_bytes=shard_bytes).collect())
+    assert len(line) == 40 and got == brute_bytes(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     long = " ".join(f"w{i}" for i in range(80))
     docs = spark.createDataFrame([(1, long, 0), (1, long, 0), (None, long, 1), (2, "", 1)], "doc_id long, text string, k int")
