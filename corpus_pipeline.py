@@ -32,15 +32,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id; documents without words are no group."""
+    """One document of each group of linked texts stays: the one with the least id; texts without words are no group."""
     found = jaccard_join.near_duplicates(spark, docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    # rows with the same id are one group; of them the text with the least hash stays, and of equal rows one
-    one = found.groupBy("k").agg(F.min("th").alias("th"))
-    kept = _those(docs, one)
-    often = kept.groupBy("doc_id").count().where("count > 1")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "lang"))
-    again = kept.join(often.select(F.col("doc_id").alias("_i")), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").withColumn("_n", rank).where("_n = 1").drop("_n")
-    return kept.join(often.select(F.col("doc_id").alias("_i")), F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti").unionByName(again)
+    # groups may have one least id: of a group the text with the least hash stays, and of equal rows one
+    alone = F.col("class").isNull()
+    one = found.groupBy("class", F.when(alone, F.col("k")).alias("_k"), F.when(alone, F.col("th")).alias("_th")).agg(F.min(F.struct("k", "th")).alias("o"))
+    kept = _those(docs, one.select("o.k", "o.th")).withColumn("_k", K).withColumn("_th", F.xxhash64("text"))
+    often = kept.groupBy("_k", "_th").count().where("count > 1").select("_k", "_th")
+    rank = F.row_number().over(Window.partitionBy("_k", "_th").orderBy("source", "lang"))
+    again = kept.join(often, ["_k", "_th"], "left_semi").withColumn("_n", rank).where("_n = 1").drop("_n")
+    return kept.join(often, ["_k", "_th"], "left_anti").unionByName(again).drop("_k", "_th")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

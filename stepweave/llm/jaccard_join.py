@@ -285,20 +285,22 @@ class Join:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, k, th, n_shingles, component_id), one row for each input row.
+    """(doc_id, k, th, n_shingles, component_id, class), one row for each input row.
 
     A set is the distinct ``gram``-word shingles of the lower-cased (A-Z) text,
     of a shorter text its whole sequence.  Texts link when 100 * intersection >=
     percent * union; component_id is the least id that links reach.  Null and
     empty texts have no set and reach only themselves; a null id counts as the
-    largest and is returned as null.  Other columns are not read.
+    largest and is returned as null.  ``class`` tells components apart that have
+    the same least id; it is null for texts without a set.  Other columns are
+    not read.
     """
     base = keyed(docs, id_col, text_col)
     join = Join(spark, base, gram, percent)
     classes = join.classes.join(join.labels(), F.col("sig") == F.col("node"), "left").select("sig", "k", F.coalesce("component", "sig").alias("c"))
     first = classes.groupBy("c").agg(F.min("k").alias("least"))
-    ids = classes.join(first, "c").select("sig", "least")
+    ids = classes.join(first, "c").select("sig", "least", "c")
     t = join.texts
-    whole = t.where("n > 0").join(ids, "sig").select("k", "th", "n", "least").unionByName(t.where("n = 0").select("k", "th", "n", F.col("k").alias("least")))
+    whole = t.where("n > 0").join(ids, "sig").select("k", "th", "n", "least", "c").unionByName(t.where("n = 0").select("k", "th", "n", F.col("k").alias("least"), F.lit(None).cast("long").alias("c")))
     null = lambda c: F.when(F.col(c) != 9223372036854775807, F.col(c))
-    return whole.select(null("k").alias("doc_id"), "k", "th", F.col("n").cast("long").alias("n_shingles"), null("least").alias("component_id"))
+    return whole.select(null("k").alias("doc_id"), "k", "th", F.col("n").cast("long").alias("n_shingles"), null("least").alias("component_id"), F.col("c").alias("class"))

@@ -192,3 +192,16 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(((r.doc_id, r.size) for r in got.collect()), key=str) == sorted([(1, 80), (5, 72), (None, 90)], key=str)
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_pipeline_keeps_unrelated_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, f"{b} more"), (7, c), (7, d), (7, f"{d} more"), (8, e), (None, f"{e} more"), (None, None), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 8 and {(None, a), (7, c), (8, e), (None, None), (9, ""), (9, None)} < set(got)
+    assert sorted(t.split()[0] for _, t in got if t) == sorted(x.split()[0] for x in (a, b, c, d, e))
