@@ -26,9 +26,13 @@ def _those(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.join(keys.select(F.col("k").alias("_k"), F.col("th").alias("_th")).distinct(), ["_k", "_th"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _those(docs, quality.judge(spark, docs).where("kept"))
+    """Documents that the rules keep, without their source's common lines, and their length."""
+    return _sized(quality.cleaned(spark, docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced, and their length."""
-    hidden = pii.pseudonymise(docs).drop("n_pii", "pii_kinds")
-    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
+    return _sized(pii.pseudonymise(docs).drop("n_pii", "pii_kinds"))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

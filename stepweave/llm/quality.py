@@ -1,8 +1,8 @@
 """Document quality by rules, and by how often a host repeats its lines.
 
 Lines are normalised and hashed; a line that stands in more than ``share`` of a
-host's distinct documents, and in more than ``least`` of them, is removed.
-Exact copies count as one document, so a group of copies does not make its own
+host's distinct documents, and in more than ``least`` of them, is common:
+``judge`` counts the words in such lines, ``cleaned`` removes the lines.  Exact copies count as one document, so a group of copies does not make its own
 lines common.  A document is rejected if a base rule fails, or if so many words
 go that less than ``left`` of them stay.
 """
@@ -75,6 +75,19 @@ def common_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
     return often.join(per_host, "host").where(F.col("n") > F.col("documents") * F.lit(share)).select("host", "line")
 
 
+def _judged(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least: int, left: float) -> DataFrame:
+    """The columns of ``judge``, the common lines of each text by their hashes (null without any), and the row of ``docs``."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    common = Scratch(spark).table(common_lines(base, share, least), "common_lines")
+    gone = lines_of(base).join(common, ["host", "line"]).groupBy("k", "th", "host").agg(F.sum("words").alias("n_line_words"), F.collect_set("line").alias("lines"))
+    s = statistics(base).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+    # a row that stands twice has its lines counted twice
+    twice = base.groupBy("k", "th", "host").agg(F.count("*").alias("rows"))
+    gone = gone.join(twice, ["k", "th", "host"]).select("k", "th", "host", F.expr("n_line_words div rows").alias("n_line_words"), "lines")
+    j = s.join(gone, ["k", "th", "host"], "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
+    return j.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= F.col("n_words") * F.lit(left))).drop("host")
+
+
 def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE, least: int = LINE_LEAST, left: float = LEFT) -> DataFrame:
     """(doc_id, k, th, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept).
 
@@ -82,12 +95,12 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     null and empty texts have no words and fail; a null host is a host; rows
     that share an id are judged by their own texts.  Other columns are not read.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
-    common = Scratch(spark).table(common_lines(base, share, least), "common_lines")
-    gone = lines_of(base).join(common, ["host", "line"]).groupBy("k", "th", "host").agg(F.sum("words").alias("n_line_words"))
-    s = statistics(base).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    # a row that stands twice has its lines counted twice
-    twice = base.groupBy("k", "th", "host").agg(F.count("*").alias("rows"))
-    gone = gone.join(twice, ["k", "th", "host"]).select("k", "th", "host", F.expr("n_line_words div rows").alias("n_line_words"))
-    j = s.join(gone, ["k", "th", "host"], "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
-    return j.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= F.col("n_words") * F.lit(left))).drop("host")
+    return _judged(spark, docs, id_col, text_col, host_col, share, least, left).drop("lines", "row")
+
+
+def cleaned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE, least: int = LINE_LEAST, left: float = LEFT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, their texts without the common lines of their host; other lines stay in order."""
+    j = _judged(spark, docs, id_col, text_col, host_col, share, least, left).where("kept")
+    text = F.col("row")[text_col].cast("string")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", line_hash(x))), "\n")
+    return j.select(*((F.when(F.col("lines").isNull(), text).otherwise(rest) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -205,3 +205,17 @@ def test_pipeline_keeps_unrelated_texts_that_share_an_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert len(got) == 8 and {(None, a), (7, c), (8, e), (None, None), (9, ""), (9, None)} < set(got)
     assert sorted(t.split()[0] for _, t in got if t) == sorted(x.split()[0] for x in (a, b, c, d, e))
+
+
+def test_quality_stage_removes_common_lines(spark):
+    import corpus_pipeline
+
+    letters = lambda n: chr(97 + n // 26) + chr(97 + n % 26)
+    body = lambda i: " ".join(f"w{letters(i)}x{letters(j)}" for j in range(60))
+    text = lambda i: f"Top {i + 10}\n{body(i)}\n\n  TOP\t{i + 30}  \nown {letters(i)}\n"
+    rows = [(i % 20, text(i), "h") for i in range(40)] + [(50, text(50), "g"), (50, text(50), None), (0, text(0), "h"), (51, "Top 1", "h"), (52, None, "h")]
+    docs = spark.createDataFrame([(t, i, s, len(t or "")) for i, t, s in rows], "text string, doc_id long, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    want = [(i, f"{body(x)}\n\nown {letters(x)}\n", "h") for i, x in [(x % 20, x) for x in range(40)] + [(0, 0)]] + [(50, text(50), "g"), (50, text(50), None)]
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((t, i, s, len(t)) for i, t, s in want), key=str)
