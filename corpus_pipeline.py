@@ -17,6 +17,8 @@ from stepweave.llm import decontaminate, jaccard_join, mixing, pii, quality
 from stepweave.llm.scratch import Scratch
 from stepweave.llm.words import MAX_LONG
 
+#: Near duplicates: share 80 % of their five-word shingles (op2's query has its contract's four words and 85 %).
+GRAM, PERCENT = 5, 80
 K = F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG))
 
 
@@ -37,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts stays: the one with the least id; texts without words are no group."""
-    found = jaccard_join.near_duplicates(spark, docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    found = jaccard_join.near_duplicates(spark, docs, gram=GRAM, percent=PERCENT).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
     # groups may have one least id: of a group the text with the least hash stays, and of equal rows one
     alone = F.col("class").isNull()
     one = found.groupBy("class", F.when(alone, F.col("k")).alias("_k"), F.when(alone, F.col("th")).alias("_th")).agg(F.min(F.struct("k", "th")).alias("o"))

@@ -219,3 +219,13 @@ def test_quality_stage_removes_common_lines(spark):
     want = [(i, f"{body(x)}\n\nown {letters(x)}\n", "h") for i, x in [(x % 20, x) for x in range(40)] + [(0, 0)]] + [(50, text(50), "g"), (50, text(50), None)]
     assert got.columns == docs.columns
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((t, i, s, len(t)) for i, t, s in want), key=str)
+
+
+def test_pipeline_links_five_word_shingles_from_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    change = lambda *at: " ".join("other" + w if i in at else w for i, w in enumerate(words))
+    # 86 of 106 shingles are shared with the first, then 81 of 111
+    docs = spark.createDataFrame([(1, change()), (2, change(30, 60)), (3, change(20, 50, 80))], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
