@@ -80,3 +80,12 @@ def test_locating_copies_gives_one_file_each(spark):
     wanted = spark.createDataFrame([("h", "a")] * 3 + [("h", "b"), ("none", "a")], "sha256 string, source string")
     there = spark.createDataFrame([("h", "/z/a/1"), ("h", "/y/c/2")], "sha256 string, path string")
     assert sorted(map(tuple, files.locate(wanted, there).collect())) == [("h", "a", "/z/a/1"), ("h", "b", "/y/c/2")]
+
+
+def test_experiment_measures_run_every_chunker(spark, tmp_path):
+    from stepweave.operators import chunkers
+
+    text = "1. Open the valve before the pump starts.\n2. Check that the pressure is below 5 bar.\n3. Close the valve."
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["experiment_measures"](spark, str(tmp_path)).select("chunker").collect()
+    assert sorted(r.chunker for r in got) == sorted(chunkers.CHUNKERS) and len(got) == 5
