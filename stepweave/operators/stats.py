@@ -113,7 +113,8 @@ def bootstrap_ranks(cells: DataFrame, measure: str, rounds: int = 2000, seed: in
     n = docs.count()
     draws = cells.sparkSession.range(rounds).withColumnRenamed("id", "round").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
     draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "round", "slot"), F.lit(max(1, n))))
-    means = draws.join(docs, "_i").join(cells.select(doc, by, measure), doc).groupBy("round", by).agg(F.avg(measure).alias("m"))
+    # the draws are many short rows, too many to be broadcast
+    means = draws.hint("merge").join(docs, "_i").hint("merge").join(cells.select(doc, by, measure), doc).groupBy("round", by).agg(F.avg(measure).alias("m"))
     ranked = means.withColumn("r", F.rank().over(Window.partitionBy("round").orderBy(F.desc("m"))))
     return ranked.groupBy(by).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("r") == 1).cast("int")).alias("rank_1_share"))
 

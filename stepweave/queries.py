@@ -368,7 +368,7 @@ def idempotency_table(spark, sf):
 def bootstrap_rank(spark, sf):
     c = _orders(spark, sf).groupBy("doc", "chunker").agg(F.avg("m").alias("m"))
     whole = c.groupBy("doc").agg(F.count("*").alias("n")).where("n = 5").select("doc")
-    return stats.bootstrap_ranks(c.join(whole, "doc", "left_semi"), "m", rounds=200)
+    return stats.bootstrap_ranks(c.join(whole, "doc", "left_semi"), "m")
 
 
 @query("""SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS page,

@@ -89,3 +89,13 @@ def test_experiment_measures_run_every_chunker(spark, tmp_path):
     spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["experiment_measures"](spark, str(tmp_path)).select("chunker").collect()
     assert sorted(r.chunker for r in got) == sorted(chunkers.CHUNKERS) and len(got) == 5
+
+
+def test_bootstrap_rank_draws_2000_rounds(spark, monkeypatch):
+    import inspect
+
+    whole, asked = queries.stats.bootstrap_ranks, []
+    monkeypatch.setattr(queries.stats, "bootstrap_ranks", lambda *a, **b: asked.append(inspect.signature(whole).bind(*a, **b)))
+    queries.bootstrap_rank(spark, SF)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["rounds"] == 2000
