@@ -153,11 +153,14 @@ class Scanner:
                     per.setdefault(number - first, []).append((end - n, at + 1 - n, n))
         for number, pieces in per.items():
             best: list[tuple[int, int, int, int]] = []  # start in the text, end there, end in the template, words covered
+            near = 0
             for start, at, n in sorted(pieces):
                 chain = (start, start + n, at + n, n)
-                for b in best[-16:]:
+                while near < len(best) and start - best[near][1] > self.max_gap:  # neither starts nor ends in the text fall
+                    near += 1
+                for b in best[near:]:
                     over = max(0, b[1] - start, b[2] - at)
-                    if over < n and start - b[1] <= self.max_gap and at - b[2] <= self.max_gap and b[3] + n - over > chain[3]:
+                    if over < n and at - b[2] <= self.max_gap and b[3] + n - over > chain[3]:
                         chain = (b[0], start + n, at + n, b[3] + n - over)
                 best.append(chain)
             for start, end, _, covered in best:

@@ -229,3 +229,9 @@ def test_pipeline_links_five_word_shingles_from_four_fifths(spark):
     # 86 of 106 shingles are shared with the first, then 81 of 111
     docs = spark.createDataFrame([(1, change()), (2, change(30, 60)), (3, change(20, 50, 80))], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_license_chains_reach_past_a_recurring_phrase():
+    template = "h i j a b c t u v " + " ".join(f"a b c z{i}" for i in range(20))
+    got = license_scan.Scanner(phrases=(), templates=(("x", template),), coverage=0.1).scan(b"h i j other a b c other t u v")
+    assert got["labels"] == "x" and [(s["start"], s["end"]) for s in got["spans"]] == [(0, 11)] and got["score"] == 9 / 89
