@@ -1,28 +1,36 @@
 """Links between texts whose sets of word n-grams overlap, by vertical partitioning.
 
-N-grams have one global order: rare classes first (from merged counters of hash
-buckets), then by hash.  A set is cut at global pivots into fragments.
+N-grams have one global order: those that a count-min sketch of all distinct
+sets calls single come first, then the rarer by the sketch's counts, then by
+hash.  Pivots cut the order into fragments; their number grows with the longest
+set, and the single n-grams, which no two sets share, are in none.
 
-1. Texts with equal sets are one class.
+1. Texts with equal sets are one class; one text stands for it.
 2. A pair with Jaccard >= t shares one of the first ``n - ceil(t n) + 1``
-   n-grams of both.  Those that a count-min sketch does not call single are
-   posted.
-3. First each posting list links its members to its least class only; the
-   verified links make components.  Then the pairs of a list that lie in
-   different components are tried.  So a group of copies costs a star, not all
-   its pairs, and no link between components is lost.
-4. Pairs are thinned by length, place and a histogram bound, none of which drops
-   a link.  The rest are verified: every fragment counts its part of the
-   overlap separately, and the parts are summed per pair.
+   n-grams of both.  Those that aren't single are posted, with their place and
+   the number of single n-grams of the set.  As single n-grams are first, a text
+   of which more than 1 - t is its own posts nothing.
+3. Each posting list links its members to one hub, the member with the fewest
+   n-grams of its own (the original rather than a copy); the verified links make
+   components.  Then the pairs of a list that lie in different components are
+   tried, so a group of copies costs a star, not all its pairs, and no link
+   between components is lost.  While more pairs are left than postings and
+   stars still link, another hub is drawn for each list first.
+4. A pair is tried only if sizes, places and single n-grams allow the overlap.
+   Pairs meet by n-gram and size class, the smaller set by its shorter index
+   prefix, so pairs that their sizes rule out never meet.
+5. Every fragment counts its part of a pair's overlap separately, and the parts
+   are summed per pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling, sketch
@@ -31,12 +39,12 @@ from .rolling import U
 from .scratch import Scratch
 from .substring_dedup import keyed
 
-#: Bins of a set's histogram: bytes for sets below LONG n-grams, else LONG_HISTOGRAM of two bytes.
-HISTOGRAM, LONG_HISTOGRAM, LONG = 64, 256, 2000
-FRAGMENTS = 4
+#: N-grams of the longest set that make one fragment.
+FRAGMENT_GRAMS, LEAST_FRAGMENTS = 16_384, 4
 #: Rows of (k, th) up to which the wanted texts are broadcast rather than shuffled.
 BROADCAST_TEXTS = 300_000
-_SHARDS = 16
+#: Width of a size class, and the rounds of hubs at most before all pairs that are left are tried.
+SIZE_STEP, MOST_ROUNDS = 1.1, 8
 _SHORT = rolling.mix(np.arange(1, 65, dtype=U) * U(0x632BE59BD9B4E019))
 
 
@@ -60,47 +68,27 @@ def set_hash(s: np.ndarray) -> np.uint64:
     return np.add.reduce(rolling.mix(s ^ U(0x5851F42D4C957F2D)))
 
 
-def histogram(s: np.ndarray) -> bytes:
-    bins, top, kind = (HISTOGRAM, 255, np.uint8) if len(s) < LONG else (LONG_HISTOGRAM, 65535, np.uint16)
-    return np.minimum(np.bincount(((s >> U(20)) & U(bins - 1)).astype(np.int64), minlength=bins), top).astype(kind).tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound of the n-grams that are in one of two sets only."""
-    a, b = (np.frombuffer(h, np.uint8 if len(h) == HISTOGRAM else np.uint16).astype(np.int64) for h in (x, y))
-    if len(a) != len(b):  # the finer one has four bins for each of the other's
-        a, b = (np.minimum(h.reshape(-1, HISTOGRAM).sum(axis=0), 255) for h in (a, b))
-    return int(np.abs(a - b).sum())
-
-
 class _Order:
-    """The global order: a class of frequency for each hash bucket, and pivots that cut the order into fragments of equal weight."""
+    """The global order of n-grams, and pivots that cut the repeated ones into fragments of equal weight."""
 
-    def __init__(self, classes: bytes, pivots: list[int]):
-        self.classes = np.frombuffer(classes, np.uint8)
-        self.shift = U(64 - (len(self.classes) - 1).bit_length())
+    def __init__(self, lines: list[bytes], levels: bytes, bits: int, pivots: list[int]):
+        self.repeated, self.levels, self.bits = sketch.repeated(lines, bits), np.frombuffer(levels, np.uint8), bits
         self.pivots = np.array(pivots, U)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        return self.classes[s >> self.shift].astype(U) << U(56) | s >> U(8)
+        """Below 2**56 for the single ones."""
+        level = sketch.level_of(self.levels, s, self.bits).astype(U) + U(1)
+        return np.where(self.repeated(s), level, U(0)) << U(56) | s >> U(8)
 
-    def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
-        n = len(s)
-        return s[np.argsort(self.keys(s), kind="stable")[: n - (percent * n + 99) // 100 + 1]]
 
-
-def _prefixes(batch: pa.RecordBatch, order: _Order, done: set[int], gram: int, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(set hash, set size, first n-grams) of each set that the task has not had yet."""
-    for _, s in sets_of(batch.column(0), gram):
-        sig = int(set_hash(s))
-        if sig not in done:
-            done.add(sig)
-            yield sig, len(s), order.prefix(s, percent)
-
-
-_SCAN = "kind int, k long, th long, n int, sig long, hist binary, shard int, counts binary"
-_SCAN_NAMES = [x.split()[0] for x in _SCAN.split(", ")]
-_SCAN_ARROW = pa.schema(list(zip(_SCAN_NAMES, [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()], strict=True)))
+def _pivots(weight: np.ndarray, n: int) -> list[int]:
+    """Keys that part the repeated n-grams, by their weight in each level, into ``n`` ranges."""
+    share = np.append(0, np.cumsum(weight)) / max(1.0, weight.sum())
+    out = []
+    for f in range(1, n) if weight.any() else ():
+        c = min(len(weight) - 1, int(np.searchsorted(share, f / n, "right")) - 1)
+        out.append((c + 1 << 56) + int((f / n - share[c]) / max(1e-12, share[c + 1] - share[c]) * (2**56 - 1)))
+    return out
 
 
 class Join:
@@ -108,116 +96,105 @@ class Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, gram: int = 4, percent: int = 85):
         self.spark, self.docs, self.gram, self.percent = spark, docs.select("k", "th", "text"), gram, percent
-        self.keep = Scratch(spark)
-        self._scan()
+        self.keep, self.verifications = Scratch(spark), 0
+        self._classes()
+        self._order()
 
-    def _scan(self) -> None:
+    def _classes(self) -> None:
+        """The size and hash of every text's set, the classes, and the texts that stand for them."""
         gram = self.gram
-        bits = max(12, sketch.bits_for(self.docs, 18, 27) - 7)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(1 << bits, np.uint32)
             for batch in batches:
                 n, sig = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, U)
-                hist = [b""] * batch.num_rows
                 for row, s in sets_of(batch.column(2), gram):
-                    np.add.at(counts, s >> U(64 - bits), 1)
                     n[row], sig[row] = len(s), set_hash(s)
-                    hist[row] = histogram(s)
-                none = [None] * batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), pa.array(n), rolling.signed(sig), pa.array(hist, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=_SCAN_ARROW)
-            if counts.any():
-                for shard, part in enumerate(counts.reshape(_SHARDS, -1)):
-                    row = {**dict.fromkeys(_SCAN_NAMES), "kind": 1, "shard": shard, "counts": part.tobytes()}
-                    yield pa.RecordBatch.from_pylist([row], schema=_SCAN_ARROW)
-
-        found = self.keep.table(self.docs.mapInArrow(scan, _SCAN), "scan")
-        self.texts = found.where("kind = 0").select("k", "th", "n", "sig")
-        some = found.where("kind = 0 and n > 0")
-        self.classes = self.keep.table(some.groupBy("sig").agg(F.min(F.struct("k", "th")).alias("o"), F.first("n").alias("n"), F.first("hist").alias("hist")).select("sig", "o.k", "o.th", "n", "hist"), "classes", packed=True)
-        size = (1 << bits) // _SHARDS
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for shard, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    at = total.setdefault(shard, np.zeros(size, np.int64))
-                    at += np.frombuffer(counts, np.uint32)
-            for shard, at in total.items():
-                level = np.minimum(255, np.floor(4 * np.log2(at + 1))).astype(np.uint8)
-                weight = np.bincount(level, weights=at, minlength=256)
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "level": level.tobytes(), "weight": weight.tolist()}], schema=pa.schema([("shard", pa.int32()), ("level", pa.binary()), ("weight", pa.list_(pa.float64()))]))
-
-        levels, weight = np.zeros((_SHARDS, size), np.uint8), np.zeros(256)
-        parts = found.where("kind = 1").select("shard", "counts").repartition(_SHARDS, "shard").mapInArrow(add, "shard int, level binary, weight array<double>")
-        for r in parts.collect():  # 2**bits bytes in all, at most a megabyte
-            levels[r.shard] = np.frombuffer(bytes(r.level), np.uint8)
-            weight += r.weight
-        share = np.append(0, np.cumsum(weight)) / max(1.0, weight.sum())
-        pivots = []
-        for f in range(1, FRAGMENTS) if weight.any() else ():
-            c = min(255, int(np.searchsorted(share, f / FRAGMENTS, "right")) - 1)
-            pivots.append((c << 56) + int((f / FRAGMENTS - share[c]) / max(1e-12, share[c + 1] - share[c]) * (2**56 - 1)))
-        self.order = self.spark.sparkContext.broadcast((levels.tobytes(), pivots))
-
-    def postings(self) -> DataFrame:
-        """(h, i, n, sig): prefix n-grams, with their place, that may stand in two classes."""
-        order, gram, percent, text = self.order, self.gram, self.percent, self.docs.select("text")
-        bits = sketch.bits_for(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), rolling.signed(sig)], names=["k", "th", "n", "sig"])
+
+        self.texts = self.keep.table(self.docs.mapInArrow(scan, "k long, th long, n int, sig long"), "scan")
+        some = self.texts.where("n > 0")
+        found = some.groupBy("sig").agg(F.min(F.struct("k", "th")).alias("o"), F.first("n").alias("n"))
+        self.classes = self.keep.table(found.select("sig", "o.k", "o.th", "n"), "classes")
+        first = self.classes.select("k", "th")
+        spare = self.keep.table(some.select("k", "th").distinct().join(first, ["k", "th"], "left_anti"), "spare")
+        if spare.count() <= BROADCAST_TEXTS:
+            self.first = self.docs.join(F.broadcast(spare), ["k", "th"], "left_anti")
+        else:
+            self.first = self.keep.table(self.docs.join(first, ["k", "th"], "left_semi"), "first")
+
+    def _order(self) -> None:
+        gram, bits = self.gram, sketch.bits_for(self.docs)
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            o, done = _Order(*order.value), set()
-            yield from sketch.partial_rows((np.concatenate([np.zeros(0, U), *(p for *_, p in _prefixes(b, o, done, gram, percent))]) for b in batches), bits)
+            yield from sketch.partial_rows((s for b in batches for _, s in sets_of(b.column(0), gram)), bits)
 
-        seen = sketch.merged(self.spark, text.mapInArrow(prints, sketch.ROWS), bits)
+        lines, levels, weight = sketch.levelled(self.first.select("text").mapInArrow(prints, sketch.ROWS), bits)
+        longest = self.classes.agg(F.max("n")).first()[0] or 0
+        self.fragments = max(LEAST_FRAGMENTS, -(-longest // FRAGMENT_GRAMS))
+        self.order = self.spark.sparkContext.broadcast((lines, levels, bits, _pivots(weight, self.fragments)))
+
+    def postings(self) -> DataFrame:
+        """(h, i, n, a, sig): prefix n-grams that may stand in two sets, with their place in the order and the set's single n-grams."""
+        order, gram, percent = self.order, self.gram, self.percent
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            o, done, ask = _Order(*order.value), set(), sketch.repeated(seen.value, bits)
-            for batch in batches:
-                rows = list(_prefixes(batch, o, done, gram, percent))
-                if not rows:
-                    continue
-                sizes = np.array([len(p) for *_, p in rows])
-                h = np.concatenate([p for *_, p in rows])
-                i = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                n, sig = np.repeat([n for _, n, _ in rows], sizes), np.repeat(np.array([s for s, *_ in rows], U), sizes)
-                at = ask(h)
-                yield pa.RecordBatch.from_arrays([rolling.signed(h[at]), pa.array(i[at].astype(np.int32)), pa.array(n[at].astype(np.int32)), rolling.signed(sig[at])], names=["h", "i", "n", "sig"])
-
-        posted = self.keep.table(text.mapInArrow(post, "h long, i int, n int, sig long"), "postings")
-        seen.destroy()
-        return posted
-
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, na, ia, b, nb, ib) that length and place allow, distinct."""
-        p = F.lit(self.percent)
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p
-        need = F.ceil((F.col("na") + F.col("nb")) * p / (p + 100))
-        # true for the first n-gram that a pair shares, if it is a link
-        reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-        return pairs.where(fits & reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose histograms differ by no more than linked sets do."""
-        one, two = (self.classes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}")) for x in "ab")
-        percent = self.percent
-        j = pairs.join(one, "a").join(two, "b")
-
-        def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            o = _Order(*order.value)
             for batch in batches:
-                if batch.num_rows:
-                    n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-                    # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|)
-                    apart = np.array([least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)])
-                    ok = apart * (100 + percent) <= n * (100 - percent)
-                    yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
-
-        return j.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(differ, "a long, b long, na int, nb int")
-
-    def _fragments(self, sigs: DataFrame) -> DataFrame:
-        """(sig, f, part): the sets of these classes, cut at the pivots."""
-        wanted = sigs.join(self.classes.select("sig", "k", "th"), "sig")
-        wanted = self.keep.table(wanted, f"wanted_{self.round}", packed=True)
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for _, s in sets_of(batch.column(0), gram):
+                    n, keys = len(s), o.keys(s)
+                    a, prefix = int((keys < U(1 << 56)).sum()), n - (percent * n + 99) // 100 + 1
+                    if a < prefix:
+                        h = s[np.argsort(keys, kind="stable")[a:prefix]]
+                        sig = set_hash(s)
+                        for c, x in zip(out, (h, np.arange(a, prefix, dtype=np.int32), np.full(len(h), n, np.int32), np.full(len(h), a, np.int32), np.full(len(h), sig, U)), strict=True):
+                            c.append(x)
+                if out[0]:
+                    h, i, n, a, sig = (np.concatenate(c) for c in out)
+                    yield pa.RecordBatch.from_arrays([rolling.signed(h), pa.array(i), pa.array(n), pa.array(a), rolling.signed(sig)], names=["h", "i", "n", "a", "sig"])
+
+        return self.keep.table(self.first.select("text").mapInArrow(post, "h long, i int, n int, a int, sig long"), "postings")
+
+    def _lists(self) -> DataFrame:
+        """The postings of n-grams that two classes have."""
+        post = self.postings()
+        several = post.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h")
+        lists = self.keep.table(post.join(several, "h"), "lists")
+        self.keep.drop("postings")
+        return lists
+
+    def _fits(self, x: str, y: str) -> str:
+        """What n, i and a of two sets that share the n-gram at these places must fulfil for a link; true for the first one that linked sets share."""
+        p = self.percent
+        return (
+            f"100L * least(n{x}, n{y}) >= {p}L * greatest(n{x}, n{y})"
+            f" and {p + 100}L * least(n{x} - i{x}, n{y} - i{y}) >= {p}L * (n{x} + n{y})"
+            # single n-grams of either are in one set only
+            f" and {100 + p}L * (a{x} + a{y}) <= {100 - p}L * (n{x} + n{y})"
+        )
+
+    def _met(self, index: DataFrame, probe: DataFrame) -> DataFrame:
+        """(a, b, na, nb): pairs of an index set and a probe set at least as large, in different groups ``c``, that share an n-gram and fit; distinct."""
+        p = self.percent
+
+        def size_class(n: str) -> Column:
+            return F.floor(F.log(F.expr(n).cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+        def named(x: str) -> list[Column]:
+            return [F.col("sig").alias(x), *(F.col(c).alias(c + x) for c in ("n", "i", "a", "c"))]
+
+        small = index.where(f"{p + 100}L * (n - i) >= {2 * p}L * n").select("h", size_class("n").alias("size"), *named("x"))
+        # the least and the largest partner that length, place and single n-grams allow
+        low = F.expr(f"greatest(({p}L * n + 99) div 100, ({100 + p}L * a + {100 - p - 1}L) div {100 - p}L - n, 1L)") if p < 100 else F.expr("cast(n as bigint)")
+        large = probe.withColumn("low", low).withColumn("most", F.expr(f"least(n, (n - i) * {100 + p}L div {p}L - n)")).where("low <= most")
+        large = large.select("h", F.explode(F.sequence(size_class("low"), size_class("most"))).alias("size"), *named("y"))
+        met = small.join(large, ["h", "size"]).where(f"cx <> cy and (nx < ny or nx = ny and x <> y) and {self._fits('x', 'y')}")
+        ordered = F.col("x") < F.col("y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(ordered, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(ordered, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+
+    def _fragments(self, sigs: DataFrame, name: str) -> DataFrame:
+        """(sig, f, part): the repeated n-grams of these classes, cut at the pivots."""
+        wanted = self.keep.table(sigs.join(self.classes.select("sig", "k", "th"), "sig"), f"wanted_{name}")
         if wanted.count() <= BROADCAST_TEXTS:
             wanted = F.broadcast(wanted)
         order, gram = self.order, self.gram
@@ -227,61 +204,76 @@ class Join:
             for batch in batches:
                 sig, out = batch.column(0).to_pylist(), []
                 for row, s in sets_of(batch.column(1), gram):
-                    f = np.searchsorted(o.pivots, o.keys(s), "right")
-                    out += [(sig[row], x, s[f == x].view(np.int64)) for x in range(FRAGMENTS)]
+                    keys = o.keys(s)
+                    s, keys = s[keys >= U(1 << 56)], keys[keys >= U(1 << 56)]
+                    f = np.searchsorted(o.pivots, keys, "right")
+                    out += [(sig[row], int(x), s[f == x].view(np.int64)) for x in np.unique(f)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["sig", "f", "part"])
 
-        texts = self.docs.join(wanted, ["k", "th"]).select("sig", "text")
-        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>"), f"fragments_{self.round}")
+        texts = self.first.join(wanted, ["k", "th"]).select("sig", "text")
+        return self.keep.table(texts.mapInArrow(cut, "sig long, f int, part array<long>"), f"fragments_{name}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, overlap) that are links."""
-        self.round = getattr(self, "round", 0) + 1
-        pairs = self.keep.table(self._possible(pairs), f"possible_{self.round}", packed=True)
-        parts = self._fragments(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+        """The written table (a, b, overlap) of the pairs (a, b, na, nb) that are links."""
+        name = str(self.verifications)
+        self.verifications += 1
+        pairs = self.keep.table(pairs, f"pairs_{name}")
+        parts = self._fragments(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct(), name)
         x = parts.select(F.col("sig").alias("a"), "f", F.col("part").alias("x"))
         y = parts.select(F.col("sig").alias("b"), "f", F.col("part").alias("y"))
         each = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).alias("c"))
         # a row that stands twice has its fragments twice
         sums = each.groupBy("a", "b", "na", "nb", "f").agg(F.max("c").alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
-        return sums.where(100 * F.col("overlap") >= self.percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
-
-    def _spent(self) -> None:
-        """Drops the tables behind the last ``verified``, once its result is written."""
-        for name in ("wanted", "possible", "fragments"):
-            self.keep.drop(f"{name}_{self.round}")
-
-    def _pairs(self, post: DataFrame) -> DataFrame:
-        """All pairs of each posting list in different groups ``c``."""
-        a, b = (post.select("h", *(F.col(x).alias(y) for x, y in (("sig", s), ("n", f"n{s}"), ("i", f"i{s}"), ("c", f"c{s}")))) for s in "ab")
-        p = F.lit(self.percent)
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p
-        reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * p / (p + 100))
-        return a.withColumnRenamed("h", "g").join(b, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & reach)
+        links = sums.where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b", "overlap")
+        links = self.keep.table(links, f"links_{name}")
+        for spent in ("wanted", "fragments"):
+            self.keep.drop(f"{spent}_{name}")
+        return links
 
     def links(self) -> DataFrame:
         """Every link (a, b, overlap) between two classes."""
-        return self.verified(self._near(self._pairs(self.postings().distinct().withColumn("c", F.col("sig")))))
+        lists = self._lists().withColumn("c", F.col("sig"))
+        return self.verified(self._met(lists, lists))
+
+    def _star(self, lists: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """The lists with a hub each, and the pairs of hubs with members of other components."""
+        score = F.expr("1000000L * a div n") if turn == 0 else F.xxhash64("sig", F.lit(turn))
+        hubs = lists.groupBy("h").agg(F.min(F.struct(score.alias("score"), "sig", "n", "i", "a", "c")).alias("o")).select("h", *(F.col(f"o.{c}").alias(n) for c, n in (("sig", "hub"), ("n", "ny"), ("i", "iy"), ("a", "ay"), ("c", "cy"))))
+        j = lists.join(hubs, "h")
+        near = j.withColumnsRenamed({"n": "nx", "i": "ix", "a": "ax"}).where(f"c <> cy and {self._fits('x', 'y')}")
+        ordered = F.col("sig") < F.col("hub")
+        pairs = near.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"), F.when(ordered, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(ordered, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+        return j.select("h", "i", "n", "a", "sig", "hub"), pairs.distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) of the classes that have a link."""
-        keep, post = self.keep, self.postings()
-        least = post.groupBy("h").agg(F.min(F.struct("sig", "n", "i")).alias("o"), F.max("sig").alias("hi")).where("o.sig <> hi").select("h", F.col("o.sig").alias("a"), F.col("o.n").alias("na"), F.col("o.i").alias("ia"))
-        lists = keep.table(post.join(least, "h").distinct(), "lists", packed=True)  # of two classes or more, each with its least
-        keep.drop("postings")
-        tried = keep.table(self._near(lists.where("a <> sig").select("a", "na", "ia", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))), "star", packed=True)
-        links = keep.table(self.verified(tried), "star_links", packed=True)
-        self._spent()
-        found = components(keep, links, "star")
-        c = lists.join(found, F.col("sig") == F.col("node"), "left").select("h", "i", "n", "sig", F.coalesce("component", "sig").alias("c"))
-        c = keep.table(c, "grouped", packed=True)
-        keep.drop("lists")
-        mixed = c.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-        rest = self._near(self._pairs(c.join(mixed, "h"))).join(tried, ["a", "b"], "left_anti")
-        more = keep.table(self.verified(keep.table(rest, "rest", packed=True)), "rest_links", packed=True)
-        self._spent()
-        return components(keep, links.unionByName(more), "all")
+        keep, lists = self.keep, self._lists().withColumn("c", F.col("sig"))
+        most, links, tried = lists.count(), None, None
+        for turn in range(MOST_ROUNDS):
+            with_hub, star = self._star(lists, turn)
+            with_hub = keep.table(with_hub, f"hubs_{turn}")
+            if tried is not None:
+                star = star.join(tried, ["a", "b"], "left_anti")
+            new = self.verified(star)
+            pairs = self.spark.read.parquet(f"{keep.root}/pairs_{turn}").select("a", "b")
+            links, tried = (new, pairs) if links is None else (links.unionByName(new), tried.unionByName(pairs))
+            found = components(keep, links, f"star_{turn}")
+            lists = with_hub.join(found, F.col("sig") == F.col("node"), "left").withColumn("c", F.coalesce("component", "sig")).drop("node", "component")
+            lists = keep.table(lists, f"grouped_{turn}")
+            keep.drop(f"hubs_{turn}")
+            mixed = lists.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("sig") == F.col("hub"), F.col("c"))).alias("hc")).where("lo <> hi").select("h", "hc")
+            lists = lists.drop("hub").join(mixed, "h")
+            away, home = lists.where("c <> hc"), lists.where("c = hc")
+            rest = self._met(away, lists).unionByName(self._met(home, away)).distinct().join(tried, ["a", "b"], "left_anti")
+            rest = keep.table(rest, f"rest_{turn}")
+            left = rest.count()
+            if left == 0:
+                return found
+            if left <= most or new.isEmpty():
+                break
+            lists = lists.drop("hc")
+        return components(keep, links.unionByName(self.verified(rest)), "all")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 4, percent: int = 85) -> DataFrame:

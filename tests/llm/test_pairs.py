@@ -86,6 +86,38 @@ def test_other_limits_and_edge_rows(spark, rows):
     assert jaccard_join.near_duplicates(spark, odd.where("doc_id > 9")).count() == 0
 
 
+def test_hubs_chains_long_sets_and_many_rounds(spark, monkeypatch):
+    """Near copies of an original that is there or missing, a chain, and texts of thousands of n-grams; also where every round of hubs is used."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+
+    def changed(t, places):
+        t = list(t)
+        for p in places:
+            t[p] = rnd.choice(words) + "x"
+        return t
+
+    texts = []
+    for original in (True, False):
+        t = [rnd.choice(words) for _ in range(120)]
+        texts += [t] * original + [changed(t, rnd.sample(range(120), rnd.choice([1, 2, 2, 3, 4]))) for _ in range(25)]
+    t = [rnd.choice(words) for _ in range(100)]
+    for i in range(12):  # each step is a link, longer ways are not
+        t = changed(t, [8 * i % 100])
+        texts.append(t)
+    t = [rnd.choice(words) for _ in range(5000)]
+    texts += [t, changed(t, rnd.sample(range(5000), 60)), changed(t, rnd.sample(range(5000), 400)), t[:4400], t[:4200]]
+    texts += [[*texts[0], "tail"]] * 2
+    rnd.shuffle(texts)
+    rows = [(5 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_GRAMS", 300)
+    for bits in (28, 8):  # with the least sketch nothing is single
+        monkeypatch.setattr(jaccard_join.sketch, "bits_for", lambda df, b=bits: min(b, 20))
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark, docs).collect())
+        assert got == brute(rows)[0]
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 180)] + [(5, x) for x in range(300, 340)] + [(x, (x - 400 + 1) % 30 + 400) for x in range(400, 430)] + [(7, 7)]
