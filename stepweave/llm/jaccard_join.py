@@ -5,6 +5,8 @@ sets calls single come first, then the rarer by the sketch's counts, then by
 hash.  Pivots cut the order into fragments; their number grows with the longest
 set, and the single n-grams, which no two sets share, are in none.
 
+Where the sketch's bound can't hold the n-grams, a shuffle counts them exactly.
+
 1. Texts with equal sets are one class; one text stands for it.
 2. A pair with Jaccard >= t shares one of the first ``n - ceil(t n) + 1``
    n-grams of both.  Those that aren't single are posted, with their place and
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling, sketch
@@ -43,6 +45,8 @@ from .substring_dedup import keyed
 FRAGMENT_GRAMS, LEAST_FRAGMENTS = 16_384, 4
 #: Rows of (k, th) up to which the wanted texts are broadcast rather than shuffled.
 BROADCAST_TEXTS = 300_000
+#: Cells of a line of the sketch of all n-grams, as powers of two (32 MB at most); beyond, n-grams are counted by a shuffle.
+LEAST_BITS, MOST_BITS = 12, 28
 #: Width of a size class, and the rounds of hubs at most before all pairs that are left are tried.
 SIZE_STEP, MOST_ROUNDS = 1.1, 8
 _SHORT = rolling.mix(np.arange(1, 65, dtype=U) * U(0x632BE59BD9B4E019))
@@ -71,12 +75,14 @@ def set_hash(s: np.ndarray) -> np.uint64:
 class _Order:
     """The global order of n-grams, and pivots that cut the repeated ones into fragments of equal weight."""
 
-    def __init__(self, lines: list[bytes], levels: bytes, bits: int, pivots: list[int]):
-        self.repeated, self.levels, self.bits = sketch.repeated(lines, bits), np.frombuffer(levels, np.uint8), bits
+    def __init__(self, lines: list[bytes] | None, levels: bytes, bits: int, pivots: list[int]):
+        self.repeated, self.levels, self.bits = sketch.repeated(lines or [], bits), np.frombuffer(levels, np.uint8), bits
         self.pivots = np.array(pivots, U)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Below 2**56 for the single ones."""
+        """Below 2**56 for the single ones; without a sketch by hash."""
+        if not len(self.levels):
+            return U(1 << 56) | s >> U(8)
         level = sketch.level_of(self.levels, s, self.bits).astype(U) + U(1)
         return np.where(self.repeated(s), level, U(0)) << U(56) | s >> U(8)
 
@@ -123,18 +129,27 @@ class Join:
             self.first = self.keep.table(self.docs.join(first, ["k", "th"], "left_semi"), "first")
 
     def _order(self) -> None:
-        gram, bits = self.gram, sketch.bits_for(self.docs)
+        """The order by a sketch of every class's n-grams, if one of ``MOST_BITS`` holds them; else only fragments by hash, and ``postings`` ranks by exact counts."""
+        gram, total = self.gram, self.classes.agg(F.sum("n"), F.max("n")).first()
+        grams, longest = total[0] or 0, total[1] or 0
+        bits = max(LEAST_BITS, (3 * grams // 2).bit_length())
+        self.sketched = bits <= MOST_BITS
+        self.fragments = max(LEAST_FRAGMENTS, -(-longest // FRAGMENT_GRAMS))
+        if not self.sketched:
+            self.order = self.spark.sparkContext.broadcast((None, b"", 0, _pivots(np.ones(1), self.fragments)))
+            return
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from sketch.partial_rows((s for b in batches for _, s in sets_of(b.column(0), gram)), bits)
 
         lines, levels, weight = sketch.levelled(self.first.select("text").mapInArrow(prints, sketch.ROWS), bits)
-        longest = self.classes.agg(F.max("n")).first()[0] or 0
-        self.fragments = max(LEAST_FRAGMENTS, -(-longest // FRAGMENT_GRAMS))
         self.order = self.spark.sparkContext.broadcast((lines, levels, bits, _pivots(weight, self.fragments)))
 
     def postings(self) -> DataFrame:
         """(h, i, n, a, sig): prefix n-grams that may stand in two sets, with their place in the order and the set's single n-grams."""
+        return self.keep.table(self._posted() if self.sketched else self._ranked(), "postings")
+
+    def _posted(self) -> DataFrame:
         order, gram, percent = self.order, self.gram, self.percent
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +168,24 @@ class Join:
                     h, i, n, a, sig = (np.concatenate(c) for c in out)
                     yield pa.RecordBatch.from_arrays([rolling.signed(h), pa.array(i), pa.array(n), pa.array(a), rolling.signed(sig)], names=["h", "i", "n", "a", "sig"])
 
-        return self.keep.table(self.first.select("text").mapInArrow(post, "h long, i int, n int, a int, sig long"), "postings")
+        return self.first.select("text").mapInArrow(post, "h long, i int, n int, a int, sig long")
+
+    def _ranked(self) -> DataFrame:
+        """The same by exact counts: all n-grams are shuffled once to be counted, the repeated ones once more to be ranked."""
+        gram = self.gram
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, s in sets_of(batch.column(0), gram):
+                    yield pa.RecordBatch.from_arrays([rolling.signed(s), pa.array(np.full(len(s), len(s), np.int32)), rolling.signed(np.full(len(s), set_hash(s), U))], names=["h", "n", "sig"])
+
+        grams = self.first.select("text").mapInArrow(each, "h long, n int, sig long")
+        often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        shared = grams.join(often, "h").distinct()  # a row that stands twice
+        one = Window.partitionBy("sig")
+        place = (F.col("n") - F.count("*").over(one)).cast("int")
+        rank = F.row_number().over(one.orderBy("df", "h")) - 1
+        return shared.select("h", "n", "sig", place.alias("a"), rank.alias("rank")).selectExpr("h", "a + rank as i", "n", "a", "sig").where(f"100L * (n - i) >= {self.percent}L * n")
 
     def _lists(self) -> DataFrame:
         """The postings of n-grams that two classes have."""

@@ -112,8 +112,8 @@ def test_hubs_chains_long_sets_and_many_rounds(spark, monkeypatch):
     rows = [(5 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(jaccard_join, "FRAGMENT_GRAMS", 300)
-    for bits in (28, 8):  # with the least sketch nothing is single
-        monkeypatch.setattr(jaccard_join.sketch, "bits_for", lambda df, b=bits: min(b, 20))
+    for most in (28, 8):  # beyond the bound, n-grams are counted by a shuffle
+        monkeypatch.setattr(jaccard_join, "MOST_BITS", most)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark, docs).collect())
         assert got == brute(rows)[0]
 
