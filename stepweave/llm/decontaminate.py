@@ -118,17 +118,23 @@ def hits(words: Column, found: Column) -> Column:
     return F.filter(F.transform(found, one), lambda h: F.size(h["starts"]) > 0)
 
 
-def find(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rows: bool = False) -> DataFrame:
     """(doc_id, k, th, n_words, n_hit, items): words, words inside occurring windows, and the sorted ids of their items.
 
     One row for each input row.  Null and empty texts have no words; items
     without words occur nowhere; an item of fewer words than a window is one
     window.  A null item id is an empty string; rows that share an id are held
-    against the items by their own texts.  Other columns are not read.
+    against the items by their own texts.  Other columns are not read, but with
+    ``rows`` each row of ``docs`` is returned as the struct ``row``.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if rows else []
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
     found = Index(spark, base, items, window).candidates().groupBy("k", "th").agg(F.collect_list(F.struct("item", "delta", "words", "len")).alias("found"))
+    if rows:  # the text travels once
+        base = base.drop("text")
     j = base.join(found, ["k", "th"], "left")
+    if rows:
+        j = j.withColumn("text", F.col("row")[text_col].cast("string"))
 
     def judge(w: Column) -> Column:
         def of(h: Column) -> Column:
@@ -139,7 +145,8 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "
 
     n_words = F.size(any_words(F.col("text"))).cast("long")
     none = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    return j.select("doc_id", "k", "th", F.when(F.col("found").isNull(), none).otherwise(let(plain_words(F.col("text")), judge)).alias("r")).select("doc_id", "k", "th", "r.*")
+    names = ["doc_id", "k", "th", *(["row"] if rows else [])]
+    return j.select(*names, F.when(F.col("found").isNull(), none).otherwise(let(plain_words(F.col("text")), judge)).alias("r")).select(*names, "r.*")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

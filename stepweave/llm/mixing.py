@@ -5,6 +5,7 @@ but at most ``max_epochs`` times its own size; what is over is reshared by
 weight among the others, until none is above.  The fixed point of that is the
 level L with sum(min(w * L, cap)) = total.  With sources in the order of cap / w,
 those before some place are capped, so running sums give L without a loop.
+Documents are then sampled whole by a seeded draw until their source's target.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import MAX_LONG, SPACES, count_words
 
 
@@ -41,37 +43,77 @@ def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     return s.withColumn("target", target).drop("cap", "w", "ratio", "rest", "rest_w", "level")
 
 
-def draw(seed: int, key: Column) -> Column:
-    """A number in [0, 1) from md5 of the seed and the key, the same in every run."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def draw(seed: int, id_: Column, text: Column) -> Column:
+    """A hex number from md5 of the seed, the id and the text: the order in which a source's documents are drawn, the same in every run."""
+    whole = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_.cast("long"), F.lit(MAX_LONG)).cast("string"), whole).cast("binary"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Adds size, source_size, target, copies, part and taken to the id and source of each row.
-
-    A document is taken ``copies`` times whole and once for its first ``part``
-    words; part is the fractional repetition rounded down or up by a seeded draw
-    on the id, so a source's sum differs from its target by the rounding only,
-    and taken = copies * size + part is at most ``max_epochs`` * size.  Null and
-    empty texts have size 0 and take nothing; a null source is a source; a null
-    id and rows that share an id draw alike.  Other columns are not read.
+def _plan(sized: DataFrame, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
+    """One row a source: source_size, target, whole (times that all its documents are taken), quota (words of the fraction), and where the drawn documents end: the bucket ``edge`` with ``before`` words in the buckets below it.
+
+    Buckets are the first three digits of the draw, so the words of a source of
+    any size are summed before one task sees the 4096 sums of a source.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col).cast("string")).alias("size"))
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(weights_by_rank(sums, cycle), max_epochs).select(F.col("source").alias("of"), "source_size", "target")
-    j = base.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    buckets = sized.groupBy("source", F.substring("drawn", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
+    plan = targets(weights_by_rank(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), cycle), max_epochs)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    want = F.least(F.floor(share * F.col("size") + draw(seed, F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)))), F.col("size") * F.lit(max_epochs)).cast("long")
-    j = j.withColumn("taken", want)
-    j = j.withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long"))
-    return j.withColumn("part", F.col("taken") - F.col("copies") * F.col("size"))
+    plan = plan.withColumn("whole", F.least(F.floor(share), F.lit(max_epochs)).cast("long"))
+    plan = plan.withColumn("quota", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = buckets.withColumn("before", before).withColumnRenamed("source", "of")
+    edge = sums.join(plan.select("source", "quota"), F.col("source").eqNullSafe(F.col("of"))).where("quota > 0 and before < quota and quota <= before + words").select("of", F.col("bucket").alias("edge"), "before")
+    return plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "quota", "edge", "before")
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (source, size, drawn and more) with copies, part and taken. Only documents of the edge bucket are put in order, the 4096th part of a source."""
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("_bucket", F.substring("drawn", 1, 3))
+    zero = F.lit(0).cast("long")
+    clear = rows.where("edge is null or _bucket <> edge").withColumn("copies", F.col("whole") + F.when(F.col("_bucket") < F.col("edge"), 1).otherwise(0)).withColumn("part", zero)
+    prior = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("drawn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = rows.where("_bucket = edge").withColumn("_left", F.col("quota") - F.col("before") - prior)
+    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("_left") >= F.col("size"), 1).otherwise(0))
+    edge = edge.withColumn("part", F.when((F.col("_left") > 0) & (F.col("_left") < F.col("size")), F.col("_left")).otherwise(zero))
+    both = clear.unionByName(edge.drop("_left")).drop("_bucket", "edge", "before", "whole", "quota")
+    both = both.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(zero))
+    return both.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[Column, Column, Column]:
+    text = F.col(text_col).cast("string")
+    return F.col(source_col).cast("string").alias("source"), count_words(text).alias("size"), draw(seed, F.col(id_col), text).alias("drawn")
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: (doc_id, copy, text) with whole copies, then the part; ids must be distinct."""
-    words = F.split(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
-    j = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"), words.alias("words_")).join(mixed.select("doc_id", "copies", "part"), "doc_id")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, part, taken) of each row.
+
+    All documents of a source are taken floor(target / source_size) times; for
+    the fraction that is left, documents are drawn whole in a seeded order until
+    its words are reached, and only the last one drawn, one a source at most, is
+    cut to its first ``part`` words.  So a source's taken words are its target
+    rounded down, and taken = copies * size + part is at most ``max_epochs`` *
+    size.  Null and empty texts have size 0 and are not taken; a null source is a
+    source, a null id an id; rows that share an id are drawn by their texts,
+    repeated rows follow one another.  Other columns are not read.
+    """
+    sized = Scratch(docs.sparkSession).table(docs.select(F.col(id_col).alias("doc_id"), *_sized(docs, id_col, text_col, source_col, seed)), "sized")
+    return _taken(sized, _plan(sized, max_epochs, cycle)).drop("drawn")
+
+
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it, with ``copy`` from 1; a part as its first words, joined by one space.
+
+    Nulls and repeated rows as in ``mix``; a column named copy is replaced.
+    """
+    columns = [c for c in docs.columns if c != "copy"]
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    measures = _sized(docs, id_col, text_col, source_col, seed)
+    sized = Scratch(docs.sparkSession).table(docs.select(measures[0], *measures[1:]), "sized")
+    taken = _taken(docs.select(row, *measures), _plan(sized, max_epochs, cycle))
     n = F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)
-    j = j.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-    return j.select("doc_id", "copy", F.when(F.col("copy") <= F.col("copies"), F.col("text_")).otherwise(F.concat_ws(" ", F.slice("words_", F.lit(1), F.col("part").cast("int")))).alias("text"))
+    each = taken.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    text = F.col("row")[text_col]
+    words = F.split(F.btrim(text.cast("string"), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
+    cut = F.when(F.col("copy") <= F.col("copies"), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))
+    return each.select(*((cut if c == text_col else F.col("row")[c]).alias(c) for c in columns), "copy")

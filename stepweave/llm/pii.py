@@ -3,8 +3,10 @@
 A value that passes its check (Luhn, mod 97, octets, calendar, numbering plan)
 is mapped to a number below the count of valid values of its format, permuted
 there by a keyed Feistel network, and written back in the same format.  Equal
-values get equal pseudonyms in every document, different values different ones,
-and who has the key can undo it.
+values of a kind get equal pseudonyms in every document and every written form
+(dates, cards, addresses), different values different ones, and who has the key
+can undo it.  A date keeps its shape: a day below 10, up to 12 or beyond, a
+month below 10 or not, and May.
 """
 
 from __future__ import annotations
@@ -12,18 +14,20 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 ROUNDS = 10
-#: Documented default of the queries; production passes its own.
+#: Stands in where the session names no key, for demonstrations and tests: who reads it can undo the pseudonyms.
 DEMO_KEY = b"stepweave pseudonyms, demonstration key"
+KEY_SETTING = "spark.stepweave.pseudonymKey"
 
 
 class Feistel:
@@ -136,34 +140,67 @@ def _ssn(s: str, p: Permute) -> str | None:
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
+# English names of months.
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def _shape(n: int) -> tuple[bool, ...]:
+    """What a date's written forms tell of it: a day below 10 or above 12, a month below 10, or May, which is short and long at once."""
+    t = datetime.date.fromordinal(n + _DAY0)
+    return t.day < 10, t.day > 12, t.month < 10, t.month == 5
+
+
 def _date(s: str, p: Permute) -> str | None:
-    """year-month-day, day.month.year, and month/day/year where that is a date, else day/month/year."""
-    a, b, c = (int(x) for x in re.split("[-./]", s))
-    sep = re.sub("[0-9]", "", s)[0]
-    iso = len(re.match("[0-9]+", s)[0]) == 4
+    """year-month-day, day.month.year, month/day/year where that is a date, else day/month/year, and days with the month's name.
 
-    def day(y: int, m: int, d: int) -> int | None:
+    All forms of a day share one permutation, so they stay linked.  It keeps the
+    shape of a date, hence every form its length, with zeros or without.
+    """
+    named = re.search("[A-Za-z]+", s)
+    numbers = re.findall("[0-9]+", s)
+    if named:
+        day, year = (int(x) for x in numbers)
+        ymd = [(year, [m[:3] for m in MONTHS].index(named[0][:3].title()) + 1, day)]
+    else:
+        a, b, c = (int(x) for x in numbers)
+        ymd = [(a, b, c)] if len(numbers[0]) == 4 else [(c, b, a)] if "." in s else [(c, a, b), (c, b, a)]
+    for late, (y, m, d) in enumerate(ymd):
         try:
             x = datetime.date(y, m, d).toordinal() - _DAY0
         except ValueError:
-            return None
-        return x if 0 <= x < _DAYS else None
-
-    late = False  # day/month with a day that can't be a month
-    x = day(a, b, c) if iso else day(c, b, a) if sep != "/" else day(c, a, b)
-    if x is None and sep == "/" and not iso:
-        x, late = day(c, b, a), True
-    if x is None:
+            continue
+        if not 0 <= x < _DAYS:
+            continue
+        t = datetime.date.fromordinal(_walk(x, _DAYS, lambda n: _shape(n) == _shape(x), p) + _DAY0)
+        if named:
+            name = MONTHS[t.month - 1]
+            name = name if len(named[0]) > 3 else name[:3]
+            out = iter([t.day, t.year])
+            parts = re.split("([0-9]+|[A-Za-z]+)", s)
+            return "".join(name if x.isalpha() else str(next(out)).zfill(len(x)) if x.isdigit() else x for x in parts)
+        order = (t.year, t.month, t.day) if len(numbers[0]) == 4 else (t.day, t.month, t.year) if "." in s or late else (t.month, t.day, t.year)
+        out = iter(order)
+        return re.sub("[0-9]+", lambda m: str(next(out)).zfill(len(m[0])), s)
+    return None
+
+
+def _ip6(s: str, p: Permute) -> str | None:
+    """Written in full where it was, else in the short form; so an address stays linked however it is written."""
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
         return None
-    bare = any(len(part) == 1 for part in re.split("[-./]", s))  # written without zeros; such dates stay among themselves
+    if "::" in s and (len(re.findall("[0-9A-Fa-f]+", s)) < 3 or not re.search("[0-9]", s)):
+        return None  # rather a name in a program
+    new = ipaddress.IPv6Address(p(x, 2**128))
+    full = all(len(g) == 4 for g in s.split(":"))
+    return new.exploded if full else new.compressed
 
-    def ok(n: int) -> bool:
-        t = datetime.date.fromordinal(n + _DAY0)
-        return (not late or t.day > 12) and (not bare or t.day < 10 or t.month < 10)
 
-    t = datetime.date.fromordinal(_walk(x, _DAYS, ok, p) + _DAY0)
-    first = (t.year, t.month, t.day) if iso else (t.day, t.month, t.year) if sep != "/" or late else (t.month, t.day, t.year)
-    return sep.join(str(v) if bare else f"{v:02d}" for v in first)
+def _key(s: str, p: Permute) -> str:
+    """The issuer's prefix stays."""
+    lead = re.match("AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-", s)[0]
+    return lead + _classes(s[len(lead) :], p)
 
 
 def _classes(s: str, p: Permute) -> str:
@@ -209,14 +246,17 @@ def _iban(s: str, p: Permute) -> str | None:
 _USUAL_CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5})(?![0-9])"
 _USUAL_PHONE = r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _NOT_BESIDE = rf"(?!{_USUAL_PHONE}|[0-9]{{1,6}}[ -](?:{_USUAL_CARD}|{_USUAL_PHONE}))"
+_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
 #: Kind, pattern, function. Earlier kinds go first where several begin at one place.
 KINDS = (
+    ("key", r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])", _key),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])", _ip6),
     ("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ip),
     ("card", rf"(?<![0-9A-Za-z.-])(?:{_USUAL_CARD}|{_NOT_BESIDE}[0-9](?:[ -]?[0-9]){{12,18}})(?![0-9A-Za-z]|[.-][0-9])", _card),
     ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", _ssn),
-    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])", _date),
+    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|%MONTH% [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} %MONTH%,? [0-9]{4})(?![0-9A-Za-z]|[./-][0-9])".replace("%MONTH%", _MONTH), _date),
     ("phone", rf"(?<![0-9A-Za-z.])(?:(?:\+?1[ .-]?)?{_USUAL_PHONE}|{_NOT_BESIDE}(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[ .-]?[0-9]{{2,4}}){{2,4}})(?![0-9A-Za-z]|[.-][0-9])", _phone),
 )
 _SECRET = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?([A-Za-z0-9_+/-]{8,})")
@@ -261,7 +301,13 @@ class Pseudonyms:
         return self.pattern.sub(put, text), sorted(kinds)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", undo: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name, else the one for demonstrations."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and n_pii (long) and pii_kinds (distinct, sorted, comma-joined).
 
     One row for each input row, all columns kept; input columns named n_pii or

@@ -2,8 +2,9 @@
 
 Lines are normalised and hashed; a line that stands in more than ``share`` of a
 host's distinct documents, and in more than ``least`` of them, is common:
-``judge`` counts the words in such lines, ``cleaned`` removes the lines.  Exact copies count as one document, so a group of copies does not make its own
-lines common.  A document is rejected if a base rule fails, or if so many words
+``judge`` counts the words in such lines, ``cleaned`` removes the lines.  Exact
+copies count as one document, so a group of copies does not make its own lines
+common.  A document is rejected if a base rule fails, or if so many words
 go that less than ``left`` of them stay.
 """
 
@@ -20,6 +21,8 @@ REPEAT_PERCENT = 50
 LINE_SHARE = 0.3
 LINE_LEAST = 20
 LEFT = 0.3
+#: Rows up to which common lines (host and hash) and the texts that have some are broadcast.
+BROADCAST_LINES, BROADCAST_GONE = 200_000, 50_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -67,9 +70,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("k", "th", "host", F.explode(parts).alias("p")).select("k", "th", "host", "p.line", "p.words")
 
 
-def common_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
+def common_lines(docs: DataFrame, lines: DataFrame, share: float, least: int) -> DataFrame:
     """(host, line) above the limits; counts are over distinct documents of the host, combined before each shuffle."""
-    per_line = lines_of(docs).select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    per_line = lines.select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     per_host = docs.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     often = per_line.where(F.col("n") > F.lit(least))
     return often.join(per_host, "host").where(F.col("n") > F.col("documents") * F.lit(share)).select("host", "line")
@@ -78,12 +81,17 @@ def common_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
 def _judged(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least: int, left: float) -> DataFrame:
     """The columns of ``judge``, the common lines of each text by their hashes (null without any), and the row of ``docs``."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    common = Scratch(spark).table(common_lines(base, share, least), "common_lines")
-    gone = lines_of(base).join(common, ["host", "line"]).groupBy("k", "th", "host").agg(F.sum("words").alias("n_line_words"), F.collect_set("line").alias("lines"))
+    keep = Scratch(spark)
+    lines = keep.table(lines_of(base), "lines")
+    # less than 1 / share lines of a host for each line of a document: broadcast only if counted small, else AQE splits the common ones
+    common = keep.table(common_lines(base, lines, share, least), "common_lines")
+    common = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
+    gone = lines.join(common, ["host", "line"]).groupBy("k", "th", "host").agg(F.sum("words").alias("n_line_words"), F.collect_set("line").alias("lines"))
     s = statistics(base).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     # a row that stands twice has its lines counted twice
     twice = base.groupBy("k", "th", "host").agg(F.count("*").alias("rows"))
-    gone = gone.join(twice, ["k", "th", "host"]).select("k", "th", "host", F.expr("n_line_words div rows").alias("n_line_words"), "lines")
+    gone = keep.table(gone.join(twice, ["k", "th", "host"]).select("k", "th", "host", F.expr("n_line_words div rows").alias("n_line_words"), "lines"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
     j = s.join(gone, ["k", "th", "host"], "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
     return j.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= F.col("n_words") * F.lit(left))).drop("host")
 

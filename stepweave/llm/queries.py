@@ -11,11 +11,14 @@ from . import decontaminate, jaccard_join, license_scan, mixing, pii, quality, s
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
-#: The first four are the contract's; the last is the method's own.
+#: The first four are the contract's; the others are the method's own.
 URL_RULES = [
-    url_filter.prefix_rule("block", "net/"), url_filter.prefix_rule("allow", "example.net/en/"), url_filter.prefix_rule("block", "example.com/de/"), url_filter.prefix_rule("allow", "org/fr/"),
-    url_filter.pattern_rule("block", r"(?:[^/]*\.)?spam-[^/]*", "spam"),
-]
+    url_filter.prefix_rule("block", "net/"),
+    url_filter.prefix_rule("allow", "example.net/en/"),
+    url_filter.prefix_rule("block", "example.com/de/"),
+    url_filter.prefix_rule("allow", "org/fr/"),
+    *url_filter.word_rules("block", url_filter.BLOCKED),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +112,17 @@ k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.p) AS t, count(*) AS n FROM
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
         "op7_mixing": r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 o AS (SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS r FROM s),
 l AS (SELECT *, (SELECT sum(source_size) FROM o) - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   (SELECT sum(w) FROM o) - coalesce(sum(w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w FROM o),
 v AS (SELECT arg_min(cast(rest AS DOUBLE) / cast(rest_w AS DOUBLE), r) AS level FROM l WHERE cast(rest AS DOUBLE) / cast(rest_w AS DOUBLE) <= cast(cap AS DOUBLE) / cast(w AS DOUBLE)),
 t AS (SELECT o.source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cast(cap AS DOUBLE), coalesce(cast(w AS DOUBLE) * level, cast(cap AS DOUBLE))) END AS target FROM o, v),
-h AS (SELECT d.*, t.source_size, t.target, md5('17:' || doc_id) AS m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(m, i, 1)) - 1) * cast(pow(16, 8 - i) AS BIGINT))) / 4294967296.0 AS x FROM h)
-SELECT doc_id, size, source_size, target, cast(least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END * size + cast(x AS DOUBLE)), 3 * size) AS BIGINT) AS taken FROM u""",
+q AS (SELECT source, source_size, target, cast(least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END), 3) AS BIGINT) AS whole FROM t),
+h AS (SELECT d.doc_id, d.size, q.*, cast(floor(target - cast(whole * source_size AS DOUBLE)) AS BIGINT) AS quota, md5('17:' || d.doc_id || ':' || md5(d.text)) AS m FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT *, quota - coalesce(sum(size) OVER (PARTITION BY source ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM h)
+SELECT doc_id, size, source_size, target, cast(CASE WHEN size = 0 THEN 0 ELSE whole * size + greatest(0, least(rest, size)) END AS BIGINT) AS taken FROM u""",
         "op8_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 l AS (SELECT doc_id, host, md5(t) AS th, x, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n,
@@ -142,5 +146,7 @@ c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmn
 r(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
 f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM c, r
   WHERE (host = regexp_extract(rule, '^[^/]*') OR ends_with(host, '.' || regexp_extract(rule, '^[^/]*'))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
-SELECT c.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)spam-') THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN f ON c.page_id = f.page_id""",
+SELECT c.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)(' || words || ')(-|\.|$)') OR regexp_matches(path, '/(' || words || ')(/|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM c CROSS JOIN (SELECT '"""
+        + "|".join(url_filter.BLOCKED)
+        + """' AS words) LEFT JOIN f ON c.page_id = f.page_id""",
     }

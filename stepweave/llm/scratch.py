@@ -12,6 +12,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,16 @@ class Scratch:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Tables of operators called inside are deleted at the end, when what is wanted of them has been written elsewhere."""
+    before = len(_made)
+    yield
+    for spark, root in _made[before:]:
+        _delete(spark, root)
+    del _made[before:]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -20,6 +20,13 @@ from .words import ascii_lower
 
 _TOKEN = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 TOKEN = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
+# Words of hosts and paths that the queries' own rules block.
+BLOCKED = tuple(
+    "spam adult casino phishing malware porn xxx sex escort poker betting bet gambling slots jackpot lottery viagra cialis pharma pills payday loan loans forex torrent torrents warez crack cracks keygen "
+    "serial serials nulled pirate piracy hack hacks botnet ransomware trojan spyware adware popup popups clickbait doubleclick adserver adservice ads advert adverts banner banners sponsor sponsored tracker trackers tracking pixel "
+    "affiliate affiliates redirect redirects clicks cashback giveaway sweepstakes replica counterfeit darkweb onion webcam camgirls nude nudes erotic fetish hentai dating hookup miner cryptominer scam fraud fake "
+    "login-verify account-verify parked parking domain-for-sale expired".split()
+)
 #: Rules travel to every worker; this bounds them.
 MOST_RULES = 1_000_000
 
@@ -41,7 +48,8 @@ def prefix_rule(verdict: str, name: str) -> Rule:
     whole = _TOKEN.findall(host.lower() + slash + path)
     if slash and path and _TOKEN.fullmatch(path[-1]):
         whole = whole[:-1]  # the URL's own token may go on
-    return Rule(name, verdict, rf"(?:[^/]*\.)?{re.escape(host.lower())}{re.escape(slash + path)}", frozenset(t.lower() for t in whole))
+    end = "" if slash else "(?=/|$)"  # a bare host ends where the path begins
+    return Rule(name, verdict, rf"(?:[^/]*\.)?{re.escape(host.lower())}{re.escape(slash + path)}{end}", frozenset(t.lower() for t in whole))
 
 
 def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
@@ -49,6 +57,12 @@ def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
     return Rule(pattern, verdict, pattern, frozenset(tokens), listed=False)
 
 
+def word_rules(verdict: str, words: tuple[str, ...]) -> list[Rule]:
+    """For each word a rule for host labels that are the word or begin with it and a hyphen, and one for path segments that are the word."""
+    hosts = [pattern_rule(verdict, rf"(?:[^/]*\.)?{re.escape(w)}(?:[-.][^/]*)?(?=/|$)", w) for w in words]
+    return hosts + [pattern_rule(verdict, rf"[^/]*(?:/[^/]*)*?/{re.escape(w)}(?=/|$)", w) for w in words]
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for null or without ``://``; a host of A-Z in lower case; a path from there to the query or fragment."""
     url = F.coalesce(url, F.lit(""))
