@@ -59,8 +59,8 @@ def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
 
 def word_rules(verdict: str, words: tuple[str, ...]) -> list[Rule]:
     """For each word a rule for host labels that are the word or begin with it and a hyphen, and one for path segments that are the word."""
-    hosts = [pattern_rule(verdict, rf"(?:[^/]*\.)?{re.escape(w)}(?:[-.][^/]*)?(?=/|$)", w) for w in words]
-    return hosts + [pattern_rule(verdict, rf"[^/]*(?:/[^/]*)*?/{re.escape(w)}(?=/|$)", w) for w in words]
+    hosts = [pattern_rule(verdict, rf"(?:[^/]*\.)?{re.escape(w)}(?:[-.][^/]*)?(?=/|$)", *_TOKEN.findall(w)) for w in words]
+    return hosts + [pattern_rule(verdict, rf"[^/]*(?:/[^/]*)*?/{re.escape(w)}(?=/|$)", *_TOKEN.findall(w)) for w in words]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
