@@ -5,6 +5,7 @@ sets calls single come first, then the rarer by the sketch's counts, then by
 hash.  Pivots cut the order into fragments; their number grows with the longest
 set, and the single n-grams, which no two sets share, are in none.
 
+The order is made again for the classes that may have a link, which are few.
 Where the sketch's bound can't hold the n-grams, a shuffle counts them exactly.
 
 1. Texts with equal sets are one class; one text stands for it.
@@ -13,7 +14,8 @@ Where the sketch's bound can't hold the n-grams, a shuffle counts them exactly.
    the number of single n-grams of the set.  As single n-grams are first, a text
    of which more than 1 - t is its own posts nothing.
 3. Each posting list links its members to one hub, the member with the fewest
-   n-grams of its own (the original rather than a copy); the verified links make
+   n-grams of its own, of those the largest (the original rather than a changed
+   or shortened copy); the verified links make
    components.  Then the pairs of a list that lie in different components are
    tried, so a group of copies costs a star, not all its pairs, and no link
    between components is lost.  While more pairs are left than postings and
@@ -45,8 +47,8 @@ from .substring_dedup import keyed
 FRAGMENT_GRAMS, LEAST_FRAGMENTS = 16_384, 4
 #: Rows of (k, th) up to which the wanted texts are broadcast rather than shuffled.
 BROADCAST_TEXTS = 300_000
-#: Cells of a line of the sketch of all n-grams, as powers of two (32 MB at most); beyond, n-grams are counted by a shuffle.
-LEAST_BITS, MOST_BITS = 12, 28
+#: Cells of a line of the sketch of all n-grams, as powers of two (16 MB at most); beyond, n-grams are counted by a shuffle.
+LEAST_BITS, MOST_BITS = 12, 27
 #: Width of a size class, and the rounds of hubs at most before all pairs that are left are tried.
 SIZE_STEP, MOST_ROUNDS = 1.1, 8
 _SHORT = rolling.mix(np.arange(1, 65, dtype=U) * U(0x632BE59BD9B4E019))
@@ -75,8 +77,8 @@ def set_hash(s: np.ndarray) -> np.uint64:
 class _Order:
     """The global order of n-grams, and pivots that cut the repeated ones into fragments of equal weight."""
 
-    def __init__(self, lines: list[bytes] | None, levels: bytes, bits: int, pivots: list[int]):
-        self.repeated, self.levels, self.bits = sketch.repeated(lines or [], bits), np.frombuffer(levels, np.uint8), bits
+    def __init__(self, lines: np.ndarray, levels: np.ndarray, bits: int, pivots: list[int]):
+        self.repeated, self.levels, self.bits = sketch.repeated(lines, bits), levels, bits
         self.pivots = np.array(pivots, U)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
@@ -104,7 +106,6 @@ class Join:
         self.spark, self.docs, self.gram, self.percent = spark, docs.select("k", "th", "text"), gram, percent
         self.keep, self.verifications = Scratch(spark), 0
         self._classes()
-        self._order()
 
     def _classes(self) -> None:
         """The size and hash of every text's set, the classes, and the texts that stand for them."""
@@ -121,6 +122,10 @@ class Join:
         some = self.texts.where("n > 0")
         found = some.groupBy("sig").agg(F.min(F.struct("k", "th")).alias("o"), F.first("n").alias("n"))
         self.classes = self.keep.table(found.select("sig", "o.k", "o.th", "n"), "classes")
+        total = self.classes.agg(F.sum("n"), F.max("n")).first()
+        self.cells = 2
+        self.grams, longest = total[0] or 0, total[1] or 0
+        self.fragments = max(LEAST_FRAGMENTS, -(-longest // FRAGMENT_GRAMS))
         first = self.classes.select("k", "th")
         spare = self.keep.table(some.select("k", "th").distinct().join(first, ["k", "th"], "left_anti"), "spare")
         if spare.count() <= BROADCAST_TEXTS:
@@ -129,14 +134,11 @@ class Join:
             self.first = self.keep.table(self.docs.join(first, ["k", "th"], "left_semi"), "first")
 
     def _order(self) -> None:
-        """The order by a sketch of every class's n-grams, if one of ``MOST_BITS`` holds them; else only fragments by hash, and ``postings`` ranks by exact counts."""
-        gram, total = self.gram, self.classes.agg(F.sum("n"), F.max("n")).first()
-        grams, longest = total[0] or 0, total[1] or 0
-        bits = max(LEAST_BITS, (3 * grams // 2).bit_length())
-        self.sketched = bits <= MOST_BITS
-        self.fragments = max(LEAST_FRAGMENTS, -(-longest // FRAGMENT_GRAMS))
+        """The order by a sketch of the n-grams of ``self.first``, if one of ``MOST_BITS`` holds them; else only fragments by hash, and ``_ranked`` takes exact counts."""
+        gram, bits = self.gram, max(LEAST_BITS, min(MOST_BITS, (self.cells * self.grams).bit_length()))
+        self.sketched = self.grams >> MOST_BITS == 0
         if not self.sketched:
-            self.order = self.spark.sparkContext.broadcast((None, b"", 0, _pivots(np.ones(1), self.fragments)))
+            self.order = self.spark.sparkContext.broadcast((np.zeros((0, 0), np.uint8), np.zeros(0, np.uint8), 0, _pivots(np.ones(1), self.fragments)))
             return
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +147,28 @@ class Join:
         lines, levels, weight = sketch.levelled(self.first.select("text").mapInArrow(prints, sketch.ROWS), bits)
         self.order = self.spark.sparkContext.broadcast((lines, levels, bits, _pivots(weight, self.fragments)))
 
-    def postings(self) -> DataFrame:
-        """(h, i, n, a, sig): prefix n-grams that may stand in two sets, with their place in the order and the set's single n-grams."""
-        return self.keep.table(self._posted() if self.sketched else self._ranked(), "postings")
+    def _lists(self) -> DataFrame:
+        """(h, i, n, a, sig): the postings of n-grams that two classes have, with their place in the order and the set's single n-grams.
+
+        Only classes in a list can link.  While they have less than half of the
+        n-grams, the order is made again for them alone: what no other of them
+        has is single then, and a sketch that was nearly full holds them easily.
+        """
+        turn = 0
+        while True:
+            self._order()
+            post = self.keep.table(self._posted() if self.sketched else self._ranked(), f"postings_{turn}")
+            several = post.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h")
+            lists = self.keep.table(post.join(several, "h"), f"lists_{turn}")
+            self.keep.drop(f"postings_{turn}")
+            among = self.keep.table(lists.select("sig").distinct().join(self.classes, "sig").select("k", "th", "n"), f"among_{turn}")
+            grams, texts = among.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+            if not self.sketched or 2 * grams > self.grams:
+                return lists
+            self.order.destroy()
+            self.grams, self.cells, turn = grams, 16, turn + 1  # so that few share a cell's level
+            among = among.select("k", "th")
+            self.first = self.docs.join(F.broadcast(among) if texts <= BROADCAST_TEXTS else among, ["k", "th"], "left_semi")
 
     def _posted(self) -> DataFrame:
         order, gram, percent = self.order, self.gram, self.percent
@@ -187,14 +208,6 @@ class Join:
         rank = F.row_number().over(one.orderBy("df", "h")) - 1
         return shared.select("h", "n", "sig", place.alias("a"), rank.alias("rank")).selectExpr("h", "a + rank as i", "n", "a", "sig").where(f"100L * (n - i) >= {self.percent}L * n")
 
-    def _lists(self) -> DataFrame:
-        """The postings of n-grams that two classes have."""
-        post = self.postings()
-        several = post.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h")
-        lists = self.keep.table(post.join(several, "h"), "lists")
-        self.keep.drop("postings")
-        return lists
-
     def _fits(self, x: str, y: str) -> str:
         """What n, i and a of two sets that share the n-gram at these places must fulfil for a link; true for the first one that linked sets share."""
         p = self.percent
@@ -271,7 +284,7 @@ class Join:
     def _star(self, lists: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """The lists with a hub each, and the pairs of hubs with members of other components."""
         score = F.expr("1000000L * a div n") if turn == 0 else F.xxhash64("sig", F.lit(turn))
-        hubs = lists.groupBy("h").agg(F.min(F.struct(score.alias("score"), "sig", "n", "i", "a", "c")).alias("o")).select("h", *(F.col(f"o.{c}").alias(n) for c, n in (("sig", "hub"), ("n", "ny"), ("i", "iy"), ("a", "ay"), ("c", "cy"))))
+        hubs = lists.groupBy("h").agg(F.min(F.struct(score.alias("score"), (-F.col("n")).alias("less"), "sig", "n", "i", "a", "c")).alias("o")).select("h", *(F.col(f"o.{c}").alias(n) for c, n in (("sig", "hub"), ("n", "ny"), ("i", "iy"), ("a", "ay"), ("c", "cy"))))
         j = lists.join(hubs, "h")
         near = j.withColumnsRenamed({"n": "nx", "i": "ix", "a": "ax"}).where(f"c <> cy and {self._fits('x', 'y')}")
         ordered = F.col("sig") < F.col("hub")

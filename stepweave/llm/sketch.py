@@ -111,34 +111,36 @@ def _sums(rows: DataFrame, bits: int, levels: bool) -> list:
 def merged(spark: SparkSession, rows: DataFrame, bits: int) -> Broadcast:
     """The cells counted twice or more, one packed array for each line."""
     lines = np.zeros((DEPTH, SHARDS, (1 << (bits - 4)) // 8), np.uint8)
-    for r in _sums(rows, bits, False):
+    found = _sums(rows, bits, False)
+    while found:  # each is let go once it is copied
+        r = found.pop()
         lines[r.line, r.shard] = np.frombuffer(bytes(r.bits), np.uint8)
-    return spark.sparkContext.broadcast([x.tobytes() for x in lines.reshape(DEPTH, -1)])
+    return spark.sparkContext.broadcast(lines.reshape(DEPTH, -1))
 
 
-def levelled(rows: DataFrame, bits: int) -> tuple[list[bytes], bytes, np.ndarray]:
+def levelled(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The cells counted twice or more; the level of every 2**LEVEL_CELLS cells of the first line; and how many repeated fingerprints each level holds."""
     lines = np.zeros((DEPTH, SHARDS, (1 << (bits - 4)) // 8), np.uint8)
     levels, weight = np.zeros((SHARDS, (1 << (bits - 4)) >> LEVEL_CELLS), np.uint8), np.zeros(LEVELS)
-    for r in _sums(rows, bits, True):
+    found = _sums(rows, bits, True)
+    while found:
+        r = found.pop()
         lines[r.line, r.shard] = np.frombuffer(bytes(r.bits), np.uint8)
         if r.line == 0:
             levels[r.shard] = np.frombuffer(bytes(r.levels), np.uint8)
             weight += r.weight
-    return [x.tobytes() for x in lines.reshape(DEPTH, -1)], levels.tobytes(), weight
+    return lines.reshape(DEPTH, -1), levels.reshape(-1), weight
 
 
 def level_of(levels: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     return levels[_cells(fp, 0, bits) >> np.uint32(LEVEL_CELLS)]
 
 
-def repeated(lines: list[bytes], bits: int) -> Callable[[np.ndarray], np.ndarray]:
+def repeated(lines: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
     """True where a fingerprint's count, as the sketch has it, is two or more."""
-    tables = [np.frombuffer(x, np.uint8) for x in lines]
-
     def ask(fp: np.ndarray) -> np.ndarray:
         out = np.ones(len(fp), bool)
-        for line, table in enumerate(tables):
+        for line, table in enumerate(lines):
             cell = _cells(fp, line, bits)
             out &= (table[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
         return out
