@@ -75,16 +75,16 @@ def measures(pairs: DataFrame, gold: str = "gold", pred: str = "pred", vacuous:
     """Adds the six measures and four counts. ``vacuous``: what recall is without gold preconditions, "one" or "null"."""
     g, p = F.col(gold), F.col(pred)
     d = pairs.withColumn("_steps", align_words(g["steps"], p["steps"]))
-    clauses = lambda x: F.concat(F.transform(x["preconditions"], lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))), F.transform(x["constraints"], lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))))
-    d = d.withColumn("_pre", align_words(g["preconditions"], p["preconditions"])).withColumn("_con", align_words(g["constraints"], p["constraints"])).withColumn("_all", F.concat("_steps", "_pre", "_con"))
+    d = d.withColumn("_pre", align_words(g["preconditions"], p["preconditions"])).withColumn("_con", align_words(g["constraints"], p["constraints"]))
     n_gold, n_pred = F.size(g["steps"]), F.size(p["steps"])
-    image = lambda e: F.struct(_image(F.col("_all"), e["a"]).alias("a"), _image(F.col("_all"), e["b"]).alias("b"))
+    # a clause and a step may share an id: an edge's source is mapped as a clause, its target as a step
+    image = lambda clauses: lambda e: F.struct(_image(F.col(clauses), e["a"]).alias("a"), _image(F.col("_steps"), e["b"]).alias("b"))
     whole = lambda e: e["a"].isNotNull() & e["b"].isNotNull()
     gold_pre, pred_pre = _of_type(g["edges"], "precondition_of"), _of_type(p["edges"], "precondition_of")
-    found = F.size(F.filter(F.transform(gold_pre, image), lambda e: whole(e) & F.array_contains(pred_pre, e)))
+    found = F.size(F.filter(F.transform(gold_pre, image("_pre")), lambda e: whole(e) & F.array_contains(pred_pre, e)))
     none = F.lit(1.0) if vacuous == "one" else F.lit(None).cast("double")
     gold_con, pred_con = F.array_distinct(_of_type(g["edges"], "constrains")), F.array_distinct(_of_type(p["edges"], "constrains"))
-    projected = F.filter(F.transform(gold_con, image), whole)
+    projected = F.filter(F.transform(gold_con, image("_con")), whole)
     tp, fp = F.size(F.array_intersect(projected, pred_con)), F.size(F.array_except(pred_con, projected))
     fn = F.size(F.array_except(projected, pred_con)) + F.size(gold_con) - F.size(projected)
     f1 = F.when(tp == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn))
@@ -98,7 +98,7 @@ def measures(pairs: DataFrame, gold: str = "gold", pred: str = "pred", vacuous:
         "constraint_f1": f1,
         "orphan_constraint_rate": F.when(F.size(p["constraints"]) == 0, 0.0).otherwise(orphans / F.size(p["constraints"])),
         "n_gold_steps": n_gold.cast("long"), "n_pred_steps": n_pred.cast("long"), "n_gold_constraints": F.size(g["constraints"]).cast("long"), "n_pred_constraints": F.size(p["constraints"]).cast("long"),
-    }).drop("_steps", "_pre", "_con", "_all")
+    }).drop("_steps", "_pre", "_con")
 
 
 # The same measures over relations, for tables too large for one row a document.

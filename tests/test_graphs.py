@@ -103,3 +103,13 @@ def test_replies_of_every_kind_are_parsed(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "no json {"), (4, '{"steps": [{"id": "s1", "text": "a"}]}'), (5, '```json\n{"steps": 3}\n```'), (6, 'x {"steps": [{"id": "s1", "text": "b"}], "edges": []} y')], "i int, s string")
     found = {r.i: (len(r.g.steps), len(r.g.edges)) for r in d.select("i", extract.parsed(F.col("s")).alias("g")).collect()}
     assert found == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (1, 0)}
+
+
+def test_edges_of_steps_and_clauses_that_share_ids(spark):
+    """A clause end is mapped among clauses, a step end among steps, though ids are the same."""
+    graph = lambda steps, con, edges: (steps, [], con, edges)
+    gold = graph([("x1", 1, "open the main valve", None), ("x2", 2, "close the drain now", None)], [("x1", "wear thick gloves always", "ppe")], [("constrains", "x1", "x2")])
+    pred = graph([("y1", 1, "open the main valve", None), ("y2", 2, "close the drain now", None)], [("y2", "wear thick gloves always", "ppe")], [("constrains", "y2", "y2")])
+    kind = f"struct<steps:{schemas.STEPS},preconditions:{schemas.PRECONDITIONS},constraints:{schemas.CONSTRAINTS},edges:{schemas.EDGES}>"
+    (r,) = metrics.measures(spark.createDataFrame([(gold, pred)], f"gold {kind}, pred {kind}")).collect()
+    assert r.constraint_f1 == 1.0 and r.orphan_constraint_rate == 0.0
