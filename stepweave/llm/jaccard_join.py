@@ -163,7 +163,7 @@ class Join:
             self.keep.drop(f"postings_{turn}")
             among = self.keep.table(lists.select("sig").distinct().join(self.classes, "sig").select("k", "th", "n"), f"among_{turn}")
             grams, texts = among.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-            if not self.sketched or 2 * grams > self.grams:
+            if not self.sketched or not grams or 2 * grams > self.grams:
                 return lists
             self.order.destroy()
             self.grams, self.cells, turn = grams, 16, turn + 1  # so that few share a cell's level
