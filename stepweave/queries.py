@@ -131,14 +131,21 @@ def semantic_islands(spark, sf):
     return i.groupBy("doc", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
-@query("""SELECT a.vec_id AS g, b.vec_id AS p, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id
-WHERE list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) >= 0.35""")
+_SIM = "list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT a.vec_id // 20 AS doc, a.vec_id::VARCHAR AS g, b.vec_id::VARCHAR AS p, {_SIM} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sim DESC, g DESC, p DESC) AS r FROM s WHERE sim >= 0.05),
+a(doc, r, g, p, sim, ok, used) AS (SELECT doc, r, g, p, sim, TRUE, [g, p] FROM o WHERE r = 1
+  UNION ALL SELECT o.doc, o.r, o.g, o.p, o.sim, NOT list_has_any(used, [o.g, o.p]), CASE WHEN list_has_any(used, [o.g, o.p]) THEN used ELSE list_concat(used, [o.g, o.p]) END FROM a JOIN o ON o.doc = a.doc AND o.r = a.r + 1)
+SELECT doc, g, p, round(sim, 5) AS sim FROM a WHERE ok""")
 def cosine_align(spark, sf):
-    """Pairs of nodes of one document; a document has 20 nodes, so pairs grow with the documents."""
-    e = t(spark, sf, "embeddings").withColumn("doc", F.expr("vec_id div 20"))
-    a, b = e.select("doc", F.col("vec_id").alias("g"), F.col("embedding").alias("x")), e.select("doc", F.col("vec_id").alias("p"), F.col("embedding").alias("y"))
-    j = a.join(b, "doc").where("g < p").withColumn("sim", metrics.dot(F.col("x"), F.col("y")))
-    return j.where(F.col("sim") >= 0.35).select("g", "p", F.round("sim", 5).alias("sim"))
+    """One-to-one matches in documents of 20 consecutive vectors: the even ids are gold nodes, the odd ones predicted."""
+    node = F.struct(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"))
+    of = lambda side: F.collect_list(F.when(F.col("vec_id") % 2 == side, node))
+    pairs = t(spark, sf, "embeddings").groupBy(F.expr("vec_id div 20").alias("doc")).agg(of(0).alias("gold"), of(1).alias("pred"))
+    m = pairs.select("doc", F.explode(metrics.align_vectors(F.col("gold"), F.col("pred"), 0.05)).alias("m"))
+    return m.select("doc", "m.g", "m.p", F.round("m.sim", 5).alias("sim"))
 
 
 _FLOW = r"len(regexp_extract_all(text, '(?i)\b(first|then|next|finally|afterwards|prior to|before|after)\b'))"
@@ -226,57 +233,97 @@ def tau_by_priority(spark, sf):
     return d.join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("tau"), 5).alias("mean_tau"))
 
 
-@query("SELECT l_orderkey, count(*) AS n_pred, max(l_linenumber) AS n_gold, round(1 - abs(count(*) - max(l_linenumber)) / greatest(count(*), max(l_linenumber)), 6) AS fidelity, round(count(DISTINCT l_suppkey) / count(*), 6) AS step_precision FROM (SELECT * FROM lineitem WHERE l_returnflag <> 'R') GROUP BY 1")
-def step_count_fidelity(spark, sf):
-    n, g = F.count("*"), F.max("l_linenumber")
-    return t(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(n.alias("n_pred"), g.cast("long").alias("n_gold"), F.round(1 - F.abs(n - g) / F.greatest(n, g.cast("long")), 6).alias("fidelity"), F.round(F.count_distinct("l_suppkey") / n, 6).alias("step_precision"))
+def _line_graphs(spark, sf):
+    """Each order as a gold and a predicted graph (``gold``, ``pred``).
+
+    Lines of more than 10 are gold steps, lines of less than 40 predicted ones,
+    by ship date.  Each step has a precondition and a constraint with an edge to
+    it; predicted constraints of returned lines lack theirs.
+    """
+    q = F.col("l_quantity")
+    lines = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"))
+    lines = lines.agg(F.max("l_shipdate").alias("ship"), F.max(q > 10).alias("g"), F.max(q < 40).alias("p"), F.max(F.col("l_returnflag") == "R").alias("r"))
+    rows = lines.groupBy("doc").agg(F.collect_list(F.struct("n", "ship", "g", "p", "r")).alias("x"))
+    gold = F.sort_array(F.filter("x", lambda x: x["g"]))
+    pred = F.sort_array(F.transform(F.filter("x", lambda x: x["p"]), lambda x: F.struct(x["ship"].alias("ship"), x["n"].alias("n"), x["r"].alias("r"))))
+
+    def graph(of, tied):
+        name = lambda kind, x: F.concat(F.lit(kind), x["n"].cast("string"))
+        nodes = lambda kind, word: F.transform(of, lambda x: F.struct(name(kind, x).alias("id"), x["n"].cast("int").alias("ordinal"), name(word, x).alias("text")))
+        edge = lambda kind, source: lambda x: F.struct(F.lit(kind).alias("type"), name(source, x).alias("from"), name("s", x).alias("to"))
+        edges = F.concat(F.transform(of, edge("precondition_of", "b")), F.transform(F.filter(of, tied), edge("constrains", "c")))
+        return F.struct(nodes("s", "do step ").alias("steps"), nodes("b", "have ").alias("preconditions"), nodes("c", "keep limit ").alias("constraints"), edges.alias("edges"))
+
+    return rows.select("doc", graph(gold, lambda x: F.lit(True)).alias("gold"), graph(pred, lambda x: ~x["r"]).alias("pred"))
+
+
+_MEASURES = """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, max(l_shipdate) AS ship, bool_or(l_quantity > 10) AS g, bool_or(l_quantity < 40) AS p, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, CASE WHEN p THEN row_number() OVER (PARTITION BY doc, p ORDER BY ship, n) - 1 ELSE count(*) FILTER (p) OVER (PARTITION BY doc) END AS pos FROM l),
+turns AS (SELECT a.doc, sum(sign(b.pos - a.pos)) AS s FROM o a JOIN o b ON a.doc = b.doc AND a.n < b.n AND a.g AND b.g GROUP BY 1),
+c AS (SELECT doc, count(*) FILTER (g) AS gold, count(*) FILTER (p) AS pred, count(*) FILTER (g AND p) AS hit, count(*) FILTER (p AND r) AS orphans, count(*) FILTER (g AND p AND NOT r) AS tp, count(*) FILTER (p AND NOT r AND NOT g) AS fp FROM l GROUP BY 1),
+m AS (SELECT c.doc, gold, pred, CASE WHEN gold < 2 THEN 1.0 ELSE s / (gold * (gold - 1) / 2) END AS step_order_tau, CASE WHEN pred = 0 THEN 1.0 ELSE hit / pred END AS step_precision,
+  CASE WHEN gold + pred = 0 THEN 1.0 ELSE 1 - abs(pred - gold) / greatest(pred, gold) END AS step_count_fidelity, CASE WHEN gold = 0 THEN 1.0 ELSE hit / gold END AS precondition_recall,
+  CASE WHEN tp = 0 THEN 0.0 ELSE 2 * tp / (tp + fp + gold) END AS constraint_f1, CASE WHEN pred = 0 THEN 0.0 ELSE orphans / pred END AS orphan_constraint_rate FROM c LEFT JOIN turns ON c.doc = turns.doc)
+"""
 
 
-@query("SELECT o_orderpriority, count(*) AS n, round(count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')) / count(*), 6) AS orphan_rate FROM orders GROUP BY 1")
-def orphan_rate(spark, sf):
-    used = t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.lit(True).alias("used"))
-    j = t(spark, sf, "orders").join(used, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("used").isNull().cast("double")), 6).alias("orphan_rate"))
+def _measured(spark, sf):
+    return metrics.measures(_line_graphs(spark, sf))
 
 
-@query("SELECT l_orderkey AS doc, l_linenumber::BIGINT AS source, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::BIGINT AS target FROM lineitem QUALIFY target IS NOT NULL")
-def precedes_edges(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("source"), F.lead("l_linenumber").over(w).cast("long").alias("target")).where("target is not null")
+@query(f"{_MEASURES} SELECT doc, round(step_order_tau, 6) AS step_order_tau, round(step_precision, 6) AS step_precision, round(step_count_fidelity, 6) AS step_count_fidelity, round(precondition_recall, 6) AS precondition_recall, round(constraint_f1, 6) AS constraint_f1, round(orphan_constraint_rate, 6) AS orphan_constraint_rate FROM m")
+def graph_measures(spark, sf):
+    return _measured(spark, sf).select("doc", *(F.round(m, 6).alias(m) for m in metrics.MEASURES))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem), known AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 50 AS id FROM lineitem)
-SELECT count(*) AS n_kept, (SELECT count(*) FROM e) - count(*) AS n_dropped FROM e WHERE EXISTS (SELECT 1 FROM known WHERE known.doc = e.doc AND id = a) AND EXISTS (SELECT 1 FROM known WHERE known.doc = e.doc AND id = b)""")
-def edge_remap(spark, sf):
-    li = t(spark, sf, "lineitem")
-    e = li.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b")).distinct()
-    known = e.select("doc", F.col("a").alias("id")).distinct()
-    for x in ("a", "b"):
-        k = known.select("doc", F.col("id").alias(x), F.lit(True).alias(f"has_{x}"))
-        e = e.join(k, ["doc", x], "left")
-    whole = F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
-    return e.agg(F.count_if(whole).alias("n_kept"), F.count_if(~whole).alias("n_dropped"))
+@query(f"{_MEASURES} SELECT doc AS l_orderkey, pred AS n_pred, gold AS n_gold, round(step_count_fidelity, 6) AS fidelity, round(step_precision, 6) AS step_precision FROM m")
+def step_count_fidelity(spark, sf):
+    return _measured(spark, sf).select(F.col("doc").alias("l_orderkey"), F.col("n_pred_steps").alias("n_pred"), F.col("n_gold_steps").alias("n_gold"), F.round("step_count_fidelity", 6).alias("fidelity"), F.round("step_precision", 6).alias("step_precision"))
 
 
-_EDGES = "gold AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS e FROM lineitem WHERE l_quantity > 10), pred AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS e FROM lineitem WHERE l_quantity < 40)"
+@query(f"{_MEASURES} SELECT o_orderpriority, count(*) AS n, round(avg(orphan_constraint_rate), 5) AS orphan_rate FROM m JOIN orders ON o_orderkey = doc GROUP BY 1")
+def orphan_rate(spark, sf):
+    j = _measured(spark, sf).select("doc", "orphan_constraint_rate").join(t(spark, sf, "orders"), F.col("doc") == F.col("o_orderkey"))
+    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("orphan_constraint_rate"), 5).alias("orphan_rate"))
 
 
-@query(f"""WITH {_EDGES}, j AS (SELECT coalesce(gold.d, pred.d) AS d, gold.d IS NOT NULL AND pred.d IS NOT NULL AS tp, gold.d IS NULL AS fp, pred.d IS NULL AS fn FROM gold FULL JOIN pred ON gold.d = pred.d AND gold.e = pred.e)
-SELECT d AS l_orderkey, count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn, round(CASE WHEN count(*) FILTER (tp) = 0 THEN 0 ELSE 2 * count(*) FILTER (tp) / (2 * count(*) FILTER (tp) + count(*) FILTER (fp) + count(*) FILTER (fn)) END, 6) AS f1 FROM j GROUP BY 1""")
+@query(f"{_MEASURES} SELECT doc AS l_orderkey, gold AS n_gold, pred AS n_pred, round(constraint_f1, 6) AS f1 FROM m")
 def constraint_f1(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    g, p = F.max(F.col("l_quantity") > 10), F.max(F.col("l_quantity") < 40)
-    e = li.groupBy("l_orderkey", "l_linenumber").agg(g.alias("g"), p.alias("p"))
-    c = e.where("g or p").groupBy("l_orderkey").agg(F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("p and not g")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"))
-    return c.withColumn("f1", F.round(F.when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))), 6))
+    return _measured(spark, sf).select(F.col("doc").alias("l_orderkey"), F.col("n_gold_constraints").alias("n_gold"), F.col("n_pred_constraints").alias("n_pred"), F.round("constraint_f1", 6).alias("f1"))
 
 
-@query(f"WITH {_EDGES} SELECT o_orderkey, count(gold.e) AS n_gold, CASE WHEN count(gold.e) = 0 THEN 1.0 ELSE round(count(pred.e) / count(gold.e), 6) END AS recall FROM orders LEFT JOIN gold ON gold.d = o_orderkey LEFT JOIN pred ON pred.d = gold.d AND pred.e = gold.e GROUP BY 1")
+@query(f"{_MEASURES} SELECT doc AS o_orderkey, gold AS n_gold, CASE WHEN gold > 0 THEN round(precondition_recall, 6) END AS recall FROM m")
 def precondition_recall(spark, sf):
-    li = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity") > 10).alias("g"), F.max(F.col("l_quantity") < 40).alias("p"))
-    n = li.where("g").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if("p").alias("hit"))
-    j = t(spark, sf, "orders").select("o_orderkey").join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_gold"), F.when(F.col("n").isNull(), 1.0).otherwise(F.round(F.col("hit") / F.col("n"), 6)).alias("recall"))
+    """Null where there is none to recall."""
+    m = metrics.measures(_line_graphs(spark, sf), vacuous="null")
+    return m.select(F.col("doc").alias("o_orderkey"), F.col("n_gold_steps").alias("n_gold"), F.round("precondition_recall", 6).alias("recall"))
+
+
+def _order_cells(spark, sf, step: str, edges):
+    """Each order as a cell of one graph, whose steps are the distinct values of ``step``."""
+    steps = F.transform(F.sort_array(F.collect_set(F.expr(step).cast("long"))), lambda x, i: F.struct(x.cast("string").alias("id"), (i + 1).alias("ordinal"), F.concat(F.lit("line "), x.cast("string")).alias("text"), F.lit(None).cast("int").alias("page")))
+    g = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(steps.alias("steps"), edges.cast(merge.schemas.EDGES).alias("edges"))
+    none = [F.array().cast(k).alias(n) for n, k in (("preconditions", merge.schemas.PRECONDITIONS), ("constraints", merge.schemas.CONSTRAINTS))]
+    graph = merge.normalise(F.struct("steps", *none, "edges"))
+    return merge.gather(g.select("doc", F.lit("order").alias("chunker"), F.lit(0).alias("chunk_idx"), graph.alias("graph")))
+
+
+@query("SELECT doc, n AS source, target FROM (SELECT doc, n, lead(n) OVER (PARTITION BY doc ORDER BY n) AS target FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber::BIGINT AS n FROM lineitem)) WHERE target IS NOT NULL")
+def precedes_edges(spark, sf):
+    """The order that merging puts the steps of a cell in."""
+    m = merge.merge_cells(_order_cells(spark, sf, "l_linenumber", F.array()))
+    line = lambda end: F.regexp_extract(F.col(f"e.{end}"), "^c0_(.+)$", 1).cast("long")
+    return m.select(F.col("doc").cast("long").alias("doc"), F.explode("edges").alias("e")).where("e.type = 'precedes'").select("doc", line("from").alias("source"), line("to").alias("target"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem), known AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 50 AS id FROM lineitem)
+SELECT count(*) AS n_kept, (SELECT count(*) FROM e) - count(*) AS n_dropped FROM e WHERE EXISTS (SELECT 1 FROM known WHERE known.doc = e.doc AND id = a) AND EXISTS (SELECT 1 FROM known WHERE known.doc = e.doc AND id = b)""")
+def edge_remap(spark, sf):
+    """Edges whose ends a merged cell holds, and those dropped."""
+    edge = F.struct(F.lit("constrains").alias("type"), F.expr("l_partkey % 50").cast("string").alias("from"), F.expr("l_suppkey % 50").cast("string").alias("to"))
+    m = merge.merge_cells(_order_cells(spark, sf, "l_partkey % 50", F.collect_set(edge)))
+    kept = F.size(F.filter("edges", lambda e: e["type"] == "constrains"))
+    return m.agg(F.sum(kept).alias("n_kept"), F.sum("dropped_edge_count").cast("long").alias("n_dropped"))
 
 
 def _orders(spark, sf):
