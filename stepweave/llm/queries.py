@@ -26,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), F.size("near").cast("long").alias("n_near"), F.sha2(F.concat_ws(",", "near").cast("binary"), 256).alias("near_sha256"),
     )
 
 
@@ -98,10 +98,17 @@ ks AS (SELECT DISTINCT k FROM i),
 dw AS (SELECT doc_id, k, s, list_slice(w, s, s + k - 1) AS g FROM (SELECT doc_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT DISTINCT dw.doc_id, dw.s, dw.k, iw.item FROM dw JOIN iw ON dw.g = iw.g AND dw.k = iw.k),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(h.n, 0) AS BIGINT) AS n_hit, cast(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM d),
+ip AS (SELECT item, k, r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p, len(w) AS n FROM (SELECT *, row_number() OVER () AS r FROM i)),
+ic AS (SELECT ip.*, coalesce(c.f, 0) AS f FROM ip LEFT JOIN (SELECT x, count(*) AS f FROM dp GROUP BY x) c ON ip.x = c.x),
+win AS (SELECT r, s, arg_min(p, f * 1000000 + p) AS a FROM (SELECT *, unnest(generate_series(greatest(0, p - k + 1), least(p, n - k))) AS s FROM ic) GROUP BY r, s),
+pl AS (SELECT DISTINCT doc_id, win.r, s, pos - a AS delta FROM win JOIN ip ON ip.r = win.r AND ip.p = a JOIN dp ON dp.x = ip.x),
+nr AS (SELECT pl.doc_id, item FROM pl JOIN ip ON ip.r = pl.r AND p BETWEEN s AND s + k - 1 JOIN dp ON dp.doc_id = pl.doc_id AND dp.x = ip.x AND abs(dp.pos - delta - p) <= 4 GROUP BY pl.doc_id, item, pl.r, s, delta, k HAVING count(DISTINCT p) = k),
+nt AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM nr) GROUP BY doc_id)
+SELECT cast(coalesce(nt.n, 0) AS BIGINT) AS n_near, sha256(coalesce(nt.s, '')) AS near_sha256, d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(h.n, 0) AS BIGINT) AS n_hit, cast(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
   coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN nt ON d.doc_id = nt.doc_id""",
         "op3_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),

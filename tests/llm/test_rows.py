@@ -1,3 +1,4 @@
+import collections
 import datetime
 import ipaddress
 import random
@@ -43,13 +44,37 @@ def test_decontamination_matches_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
-def test_near_matches_hold_the_exact_ones(spark):
-    item = " ".join(f"w{i}" for i in range(13))
-    docs = [(1, item), (2, item.replace("w6", "other")), (3, "w0 far " * 3), (4, " ".join(f"w{i} and and and and and" for i in range(13))), (5, "w6 w6 w6 w6")]  # w6 is common, so no anchor
-    base = spark.createDataFrame(docs, "k long, text string").withColumn("th", F.xxhash64("text"))
-    index = decontaminate.Index(spark, base, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    near = {r.k for r in index.near(4).collect()}
-    assert {1, 2} <= near and 3 not in near and {r.k for r in index.candidates().collect()} >= {1}
+def test_proximity_matches_brute_force(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(25)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(n))) for i, n in enumerate([30, 20, 13, 4, 1, 0, 2])] + [(7, "solo"), (8, None), (1, "and and and but")]
+    docs = [(100, None), (101, ""), (None, items[0][1]), (102, "w0 " * 200), (103, "and but and and " * 30)]
+    for d in range(60):  # an item with words moved, put in between or left out
+        t = items[d % 4][1].split()
+        for _ in range(d % 5):
+            x = rnd.randrange(len(t))
+            t[x : x + rnd.randrange(2)] = [rnd.choice([*vocabulary, "far"]) for _ in range(rnd.randrange(4))]
+            t = t or ["far"]
+        docs.append((d, " ".join([rnd.choice(vocabulary) for _ in range(rnd.randrange(5))] + t)))
+    docs.append(docs[-1])
+    counts = collections.Counter(x for _, t in docs for x in plain(t))
+    for slop in (0, 2):
+        found = decontaminate.find(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()
+        want = []
+        for d, t in docs:
+            w, near = plain(t), set()
+            for i, it in items:
+                v = plain(it)
+                k = min(13, len(v))
+                for s in range(len(v) - k + 1) if k else ():
+                    a = min(range(s, s + k), key=lambda q: (counts[v[q]], q))
+                    for x in (x for x in range(len(w)) if w[x] == v[a]):
+                        if all(v[q] in w[max(0, x - a + q - slop) : max(0, x - a + q + slop + 1)] for q in range(s, s + k)):
+                            near.add(str(i))
+            want.append((d, sorted(near)))
+        assert sorted(((r.doc_id, list(r["near"])) for r in found), key=str) == sorted(want, key=str)
+        assert all(set(r["items"]) <= set(r["near"]) for r in found)
+        assert slop == 0 or any(set(r["near"]) > set(r["items"]) for r in found)
 
 
 def test_pseudonyms_keep_format_link_and_undo():
