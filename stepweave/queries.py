@@ -193,11 +193,19 @@ def page_link_hosts(spark, sf):
     return profile.links(t(spark, sf, "pages")).groupBy(F.lower(F.regexp_extract("link", "^[a-zA-Z]+://([^/?#]*)", 1)).alias("host")).agg(F.count("*").alias("n_links"), F.count_distinct("page_id").alias("n_pages"))
 
 
-@query(f"""WITH l AS (SELECT x.*, p.url FROM ({_LINKS}) x JOIN pages p USING (page_id)), h AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY link) AS r FROM l WHERE kind = 'html')
+_HOST = "regexp_extract({}, '^[a-zA-Z]+://[^/?#]*')"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT x.page_id, {_HOST.format("p.url")} AS url, CASE WHEN regexp_matches(link, '[aeiou]$') THEN 'pdf' ELSE 'html' END AS kind, CASE WHEN regexp_matches(link, '[aeiou]$') THEN link ELSE {_HOST.format("link")} END AS link FROM ({_LINKS}) x JOIN pages p USING (page_id)),
+h AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY link) AS r FROM l WHERE kind = 'html')
 SELECT page_id, link, min(hop) AS hop FROM (SELECT page_id, link, 1 AS hop FROM l WHERE kind = 'pdf' UNION ALL SELECT h.page_id, l.link, 2 FROM h JOIN l ON h.link = l.url WHERE l.kind = 'pdf' AND r <= 30) GROUP BY ALL""")
 def two_hop(spark, sf):
+    """The tables link neither to PDF nor to each other: links that end in a vowel stand in for PDF, and a host for its pages."""
     p = t(spark, sf, "pages")
-    return profile.two_hops(profile.links(p).join(p.select("page_id", "url"), "page_id"))
+    host = lambda c: F.regexp_extract(c, "^[a-zA-Z]+://[^/?#]*", 0)
+    paper = F.col("link").rlike("[aeiou]$")
+    found = profile.links(p).join(p.select("page_id", "url"), "page_id")
+    return profile.two_hops(found.select("page_id", host("url").alias("url"), F.when(paper, F.col("link")).otherwise(host("link")).alias("link"), F.when(paper, "pdf").otherwise("html").alias("kind")).distinct())
 
 
 @query(r"""SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS n_words, greatest(1, length(text) // 4) AS approx_tokens FROM benchmark""")
