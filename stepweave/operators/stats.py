@@ -104,17 +104,24 @@ def oracle_profile(gold: DataFrame, by: list[str]) -> DataFrame:
     return gold.groupBy(*by).agg(F.count("*").alias("n"), F.avg(s).alias("mean_steps"), F.count_if(s == 0).alias("n_empty"), F.avg(p).alias("mean_preconditions"), F.count_if(p > 0).alias("n_with_precondition"))
 
 
+def poisson_weight(*keys: Column) -> Column:
+    """A draw from the Poisson distribution of mean 1, by a hash of the keys: how often a document stands in a resample."""
+    u = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+    below = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(16)]
+    return reduce(lambda a, c: a + (u >= F.lit(c)).cast("int"), below, F.lit(0))
+
+
 def bootstrap_ranks(cells: DataFrame, measure: str, rounds: int = 2000, seed: int = 0, doc: str = "doc", by: str = "chunker") -> DataFrame:
-    """(group, mean, low, high, rank_1_share): documents drawn with replacement, the same draw for all groups of a round.
+    """(group, mean, low, high, rank_1_share): documents resampled, the same draw for all groups of a round.
 
-    A draw is a hash of (seed, round, slot); the documents, not the rounds, are the small side.
+    A document's times in a round are a Poisson draw by a hash of (seed, round,
+    document), so each cell is drawn where it lies and only sums of (round,
+    group) are shuffled; the size of a resample varies about the documents'
+    number.  Null measures and rounds that draw none of a group are left out.
     """
-    docs = cells.select(doc).distinct().withColumn("_i", F.row_number().over(Window.orderBy(doc)) - 1)
-    n = docs.count()
-    draws = cells.sparkSession.range(rounds).withColumnRenamed("id", "round").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "round", "slot"), F.lit(max(1, n))))
-    # the draws are many short rows, too many to be broadcast
-    means = draws.hint("merge").join(docs, "_i").hint("merge").join(cells.select(doc, by, measure), doc).groupBy("round", by).agg(F.avg(measure).alias("m"))
+    drawn = cells.select(F.col(doc).alias("_d"), by, F.col(measure).alias("_m")).where("_m is not null").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    drawn = drawn.withColumn("_w", poisson_weight(F.lit(seed), F.col("round"), F.col("_d")))
+    means = drawn.where("_w > 0").groupBy("round", by).agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("m"))
     ranked = means.withColumn("r", F.rank().over(Window.partitionBy("round").orderBy(F.desc("m"))))
     return ranked.groupBy(by).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("r") == 1).cast("int")).alias("rank_1_share"))
 

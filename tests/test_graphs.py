@@ -113,3 +113,19 @@ def test_edges_of_steps_and_clauses_that_share_ids(spark):
     kind = f"struct<steps:{schemas.STEPS},preconditions:{schemas.PRECONDITIONS},constraints:{schemas.CONSTRAINTS},edges:{schemas.EDGES}>"
     (r,) = metrics.measures(spark.createDataFrame([(gold, pred)], f"gold {kind}, pred {kind}")).collect()
     assert r.constraint_f1 == 1.0 and r.orphan_constraint_rate == 0.0
+
+
+def test_bootstrap_of_means(spark):
+    rows = [(d, g, float((d * 7) % 10) + x) for d in range(200) for g, x in (("a", 0.0), ("b", 3.0))] + [(900, "a", None)]
+    cells = spark.createDataFrame(rows, "doc long, chunker string, m double")
+    got = {r.chunker: r for r in stats.bootstrap_ranks(cells, "m", rounds=400).collect()}
+    again = {r.chunker: r for r in stats.bootstrap_ranks(cells.repartition(7), "m", rounds=400).collect()}
+    for g, mean in (("a", 4.5), ("b", 7.5)):
+        spread = 8.25**0.5 / 200**0.5  # of a mean of 200 values
+        assert abs(got[g]["mean"] - mean) < 0.3 * spread and got[g].low < mean < got[g].high
+        assert 0.8 < (got[g].high - got[g].low) / (2 * 1.96 * spread) < 1.2
+        assert abs(got[g].low - again[g].low) < 1e-9 and abs(got[g].high - again[g].high) < 1e-9
+    assert (got["a"].rank_1_share, got["b"].rank_1_share) == (0.0, 1.0)
+    w = spark.range(20000).select(stats.poisson_weight(F.lit(1), F.col("id")).alias("w")).groupBy("w").count().collect()
+    share = {r.w: r["count"] / 20000 for r in w}
+    assert all(abs(share[k] - x) < 0.015 for k, x in enumerate((0.3679, 0.3679, 0.1839, 0.0613)))
