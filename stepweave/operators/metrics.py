@@ -78,16 +78,21 @@ def measures(pairs: DataFrame, gold: str = "gold", pred: str = "pred", vacuous:
     d = d.withColumn("_pre", align_words(g["preconditions"], p["preconditions"])).withColumn("_con", align_words(g["constraints"], p["constraints"]))
     n_gold, n_pred = F.size(g["steps"]), F.size(p["steps"])
     # a clause and a step may share an id: an edge's source is mapped as a clause, its target as a step
-    image = lambda clauses: lambda e: F.struct(_image(F.col(clauses), e["a"]).alias("a"), _image(F.col("_steps"), e["b"]).alias("b"))
+    # what is used more than once, or for each edge, is bound, as Spark would compute it anew in each place
+    both = lambda clauses: F.struct(F.col(clauses).alias("a"), F.col("_steps").alias("b"))
+    image = lambda edges, m: F.transform(edges, lambda e: F.struct(_image(m["a"], e["a"]).alias("a"), _image(m["b"], e["b"]).alias("b")))
     whole = lambda e: e["a"].isNotNull() & e["b"].isNotNull()
     gold_pre, pred_pre = _of_type(g["edges"], "precondition_of"), _of_type(p["edges"], "precondition_of")
-    found = F.size(F.filter(F.transform(gold_pre, image("_pre")), lambda e: whole(e) & F.array_contains(pred_pre, e)))
+    found = F.size(let(pred_pre, lambda known: let(both("_pre"), lambda m: F.filter(image(gold_pre, m), lambda e: whole(e) & F.array_contains(known, e)))))
     none = F.lit(1.0) if vacuous == "one" else F.lit(None).cast("double")
     gold_con, pred_con = F.array_distinct(_of_type(g["edges"], "constrains")), F.array_distinct(_of_type(p["edges"], "constrains"))
-    projected = F.filter(F.transform(gold_con, image("_con")), whole)
-    tp, fp = F.size(F.array_intersect(projected, pred_con)), F.size(F.array_except(pred_con, projected))
-    fn = F.size(F.array_except(projected, pred_con)) + F.size(gold_con) - F.size(projected)
-    f1 = F.when(tp == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn))
+
+    def score(x: Column) -> Column:
+        tp, fp = F.size(F.array_intersect(x["projected"], x["pred"])), F.size(F.array_except(x["pred"], x["projected"]))
+        fn = F.size(F.array_except(x["projected"], x["pred"])) + F.size(x["gold"]) - F.size(x["projected"])
+        return let(F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")), lambda n: F.when(n["tp"] == 0, 0.0).otherwise(2 * n["tp"] / (2 * n["tp"] + n["fp"] + n["fn"])))
+
+    f1 = let(F.struct(gold_con.alias("gold"), pred_con.alias("pred"), both("_con").alias("m")), lambda x: let(F.struct(F.filter(image(x["gold"], x["m"]), whole).alias("projected"), x["gold"].alias("gold"), x["pred"].alias("pred")), score))
     sources = F.transform(F.filter(p["edges"], lambda e: e["type"] == "constrains"), lambda e: e["from"])
     orphans = F.size(F.filter(p["constraints"], lambda c: ~F.array_contains(sources, c["id"])))
     return d.withColumns({
