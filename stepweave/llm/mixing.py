@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import MAX_LONG, SPACES, count_words
 
+#: Sources up to which their plan, one row each, is broadcast.
+BROADCAST_SOURCES = 200_000
+
 
 def weights_by_rank(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Sources by code point, null last, weigh ``cycle`` over and over."""
@@ -50,34 +53,55 @@ def draw(seed: int, id_: Column, text: Column) -> Column:
 
 
 def _plan(sized: DataFrame, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
-    """One row a source: source_size, target, whole (times that all its documents are taken), quota (words of the fraction), and where the drawn documents end: the bucket ``edge`` with ``before`` words in the buckets below it.
+    """The written table of one row a source: source_size, target, whole (times that all its documents are taken), and the last document drawn for the fraction: its ``last`` draw, ``rest`` (words left for it), and of the ``ties`` rows with that draw the ``nth``.
 
     Buckets are the first three digits of the draw, so the words of a source of
-    any size are summed before one task sees the 4096 sums of a source.
+    any size are summed before one task sees the 4096 sums of a source, and only
+    sizes of the bucket in which the fraction ends are put in order.
     """
-    buckets = sized.groupBy("source", F.substring("drawn", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
+    keep = Scratch(sized.sparkSession)
+    sized = sized.select("source", "size", "drawn", F.substring("drawn", 1, 3).alias("bucket"))
+    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     plan = targets(weights_by_rank(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), cycle), max_epochs)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.least(F.floor(share), F.lit(max_epochs)).cast("long"))
     plan = plan.withColumn("quota", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = buckets.withColumn("before", before).withColumnRenamed("source", "of")
-    edge = sums.join(plan.select("source", "quota"), F.col("source").eqNullSafe(F.col("of"))).where("quota > 0 and before < quota and quota <= before + words").select("of", F.col("bucket").alias("edge"), "before")
-    return plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "quota", "edge", "before")
+    plan = keep.table(plan.select(F.col("source").alias("of"), "source_size", "target", "whole", "quota"), "sources")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = buckets.withColumn("before", F.coalesce(F.sum("words").over(below), F.lit(0)))
+    edge = sums.join(plan.select("of", "quota"), same).where("quota > 0 and before < quota and quota <= before + words")
+    edge = edge.select("of", F.col("bucket").alias("edge"), (F.col("quota") - F.col("before")).alias("due"))
+    near = sized.join(edge, same & (F.col("bucket") == F.col("edge")))
+    order, ties = Window.partitionBy("source").orderBy("drawn"), Window.partitionBy("source", "drawn")
+    prior = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = near.select("of", "size", F.col("drawn").alias("last"), (F.col("due") - prior).alias("rest"), (F.row_number().over(order) - F.rank().over(order) + 1).alias("nth"), F.count("*").over(ties).alias("ties"))
+    last = near.where("rest > 0 and rest <= size").select(F.col("of").alias("end"), "last", "rest", "nth", "ties")
+    return keep.table(plan.drop("quota").join(last, F.col("of").eqNullSafe(F.col("end")), "left").drop("end"), "plan")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their source's plan, without dealing them by source: one may hold a third of them. Too many sources to broadcast are repeated for each pair of first digits of the draw."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), same).drop("of")
+    salted = plan.withColumn("salt", F.explode(F.array(*(F.lit(f"{i:02x}") for i in range(256)))))
+    return rows.join(salted, same & (F.substring("drawn", 1, 2) == F.col("salt"))).drop("of", "salt")
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows (source, size, drawn and more) with copies, part and taken. Only documents of the edge bucket are put in order, the 4096th part of a source."""
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("_bucket", F.substring("drawn", 1, 3))
-    zero = F.lit(0).cast("long")
-    clear = rows.where("edge is null or _bucket <> edge").withColumn("copies", F.col("whole") + F.when(F.col("_bucket") < F.col("edge"), 1).otherwise(0)).withColumn("part", zero)
-    prior = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("drawn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = rows.where("_bucket = edge").withColumn("_left", F.col("quota") - F.col("before") - prior)
-    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("_left") >= F.col("size"), 1).otherwise(0))
-    edge = edge.withColumn("part", F.when((F.col("_left") > 0) & (F.col("_left") < F.col("size")), F.col("_left")).otherwise(zero))
-    both = clear.unionByName(edge.drop("_left")).drop("_bucket", "edge", "before", "whole", "quota")
-    both = both.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(zero))
-    return both.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+    """Rows (source, size, drawn and more) with copies, part and taken: a draw before the source's last is taken once more, the last as far as words are left. Only repeated rows that share the last draw are numbered."""
+    rows = _with_plan(rows, plan)
+    if plan.where("ties > 1").isEmpty():
+        rows = rows.withColumn("_turn", F.lit(1))
+    else:
+        tied = rows.where("ties > 1 and drawn = last").withColumn("_turn", F.row_number().over(Window.partitionBy("source", "drawn").orderBy("size")))
+        rows = rows.where("ties is null or ties = 1 or drawn <> last").withColumn("_turn", F.lit(1)).unionByName(tied)
+    zero, at_end = F.lit(0).cast("long"), (F.col("drawn") == F.col("last")) & (F.col("_turn") == F.col("nth"))
+    before = (F.col("drawn") < F.col("last")) | ((F.col("drawn") == F.col("last")) & (F.col("_turn") < F.col("nth")))
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(before | (at_end & (F.col("rest") >= F.col("size"))), 1).otherwise(0)).otherwise(zero))
+    rows = rows.withColumn("part", F.when(at_end & (F.col("rest") < F.col("size")), F.col("rest")).otherwise(zero))
+    return rows.drop("_turn", "whole", "last", "rest", "nth", "ties").withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[Column, Column, Column]:

@@ -1,6 +1,7 @@
 import collections
 import datetime
 import ipaddress
+import hashlib
 import random
 import re
 
@@ -208,6 +209,30 @@ def test_mixing_draws_whole_documents_whatever_their_ids(spark):
     assert all(r.copy <= 3 for r in got) and len({r.text for r in got if r.source == "a"}) >= 30
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_mixing_takes_a_sources_draws_in_order(spark, monkeypatch, bound):
+    """Brute force over the seeded order, with rows that stand many times at any place of it, a hot source, and a plan too large to broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+    rnd = random.Random(bound)
+    rows = [(i, " ".join("w" for _ in range(rnd.choice([0, 3, 40]))), s) for i, s in enumerate(rnd.choices(["a", "b", None, "hot"], [1, 1, 1, 6], k=150))]
+    rows += [(900 + i % 2, "x " * 30, s) for i, s in enumerate(["a", "a", "b", "hot", None, "hot"] * 25)] + [(None, None, "a"), (None, "", "void")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = []
+    for name in {s for *_, s in rows}:
+        mine = [(md5(f"17:{(1 << 63) - 1 if i is None else i}:{md5(t or '')}"), i, len((t or "").split())) for i, t, s in rows if s == name]
+        total, target = sum(m[2] for m in mine), next(r.target for r in got if r.source == name)
+        whole = min(3, int(target // total)) if total else 0
+        left = int(target - whole * total)
+        for _, i, size in sorted(mine, key=lambda m: m[0]):
+            more = max(0, min(left, size))
+            left -= size
+            want.append((str(name), str(i), size, whole * size + more))
+    assert sorted((str(r.source), str(r.doc_id), r.size, r.taken) for r in got) == sorted(want)
+    assert len(mixing.materialise(docs).collect()) == sum(r.copies + (r.part > 0) for r in got)
+
+
 def test_quality_rules(spark):
     letters = lambda n: chr(97 + n // 26) + chr(97 + n % 26)  # noqa: E731  digits are all alike in a normalised line
     body = lambda i: " ".join(f"w{letters(i)}x{letters(j)}" for j in range(60))
