@@ -133,10 +133,8 @@ def candidates(bodies: list[bytes], start: np.ndarray, whole: np.ndarray, length
     last = np.append(first[1:], len(of)) - 1
     which, low = of[first], inner[at[first]]
     size = inner[at[last]] - low + length
-    # one hash for all strings of a part: order in it doesn't matter, as equal strings follow each other alike
-    total = np.append(np.uint64(0), np.cumsum(rolling.mix(h)))
-    all_ = total[at[last] + 1] - total[at[first]]
-    return offsets[which] + low, size, which, start[which] + low, all_ ^ rolling.mix(h[at[first]])
+    # by every string and its place: a sum of the strings' hashes is no more than the first one's where a part is one string
+    return offsets[which] + low, size, which, start[which] + low, rolling.stretches(h, at[first], at[last] - at[first] + 1)
 
 
 def repeats_in_shard(t: np.ndarray, sizes: np.ndarray, k: np.ndarray, start: np.ndarray, th: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -65,6 +65,20 @@ def test_near_copies_of_a_repeated_line_match_brute_force(spark, shard_bytes):
     assert len(line) == 40 and got == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 300])
+def test_different_strings_of_one_fingerprint_match_brute_force(spark, shard_bytes):
+    rnd = random.Random(5)
+    filler = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for _ in range(12):  # each string of exactly 100 bytes comes twice; the variants of one base share their least gram
+        base = filler(96)
+        variants = [base + f"{i:04}" for i in range(5)]
+        rows += [(rnd.randrange(1 << 30), pad + x + pad[::-1]) for x in variants * 2 for pad in (filler(rnd.choice([0, 0, 40])),)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60, "doc_id")  # copies in different tasks
+    got = sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(spark, docs, shard_bytes=shard_bytes).collect())
+    assert len(set(dict(rows))) == len(rows) and got == brute_bytes(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     long = " ".join(f"w{i}" for i in range(80))
     docs = spark.createDataFrame([(1, long, 0), (1, long, 0), (None, long, 1), (2, "", 1)], "doc_id long, text string, k int")
