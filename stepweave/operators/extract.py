@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,25 +24,24 @@ KINDS = {"ppe": "ppe|gloves|goggles|respirator|wear", "lockout": "lockout|tagout
 PROMPT = "Extract the procedure in the text as JSON with steps, preconditions, constraints and edges."
 
 
-def sample_table(spark, counts: list[int], k: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(n, idx): which of n chunks are taken; a row set for each distinct count, drawn by the standard generator anew."""
-    rows = [(n, i) for n in sorted(set(counts)) for i in (range(n) if n <= k else sorted(random.Random(seed).sample(range(n), k)))]
-    return spark.createDataFrame(rows, "n long, idx long")
+def drawn(n: int, k: int = SAMPLE, seed: int = SEED) -> list[int]:
+    """Which of n chunks are taken, drawn by the standard generator anew for each n."""
+    return list(range(n)) if n <= k else sorted(random.Random(seed).sample(range(n), k))
 
 
 def sample_chunks(chunks: DataFrame, k: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """At most k chunks of each document, in order.
 
-    Counts above k need a draw each; distinct counts are few beside documents,
-    and the draw table is joined by (n, idx), broadcast only if Spark finds it small.
+    Counts above k need a draw each.  A window counts a document's chunks, so
+    that they are made once, and a draw is kept for each distinct count of a batch.
     """
-    n = chunks.groupBy("doc").agg(F.count("*").alias("n"))
-    distinct = [r.n for r in n.select("n").distinct().where(F.col("n") > k).toLocalIterator()]
-    joined = chunks.join(n, "doc")
-    few = joined.where(F.col("n") <= k).drop("n")
-    if not distinct:
-        return few
-    return few.unionByName(joined.where(F.col("n") > k).join(sample_table(chunks.sparkSession, distinct, k, seed), ["n", "idx"], "left_semi").drop("n"))
+
+    @F.pandas_udf("array<long>")
+    def draw(n: pd.Series) -> pd.Series:
+        return n.map({x: drawn(int(x), k, seed) if x > k else [] for x in n.unique()})
+
+    counted = chunks.where(F.col("doc").isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy("doc")))
+    return counted.where((F.col("n") <= k) | F.array_contains(draw("n"), F.col("idx").cast("long"))).drop("n")
 
 
 def lenient_json(s: str | None) -> dict | None:

@@ -609,4 +609,4 @@ def session_events(spark, sf):
 def experiment_measures(spark, sf):
     """Chunk, sample, extract by rules, merge, and compare with the whole text's graph."""
     d = docs(spark, sf).select("doc", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return experiment.evaluate(experiment.cells(d), experiment.gold(d))
+    return experiment.run(d)

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from stepweave.operators import extract, merge, metrics, stats
+from stepweave.plans import experiment
 from stepweave.sources import files, schemas
 
 
@@ -129,3 +130,20 @@ def test_bootstrap_of_means(spark):
     w = spark.range(20000).select(stats.poisson_weight(F.lit(1), F.col("id")).alias("w")).groupBy("w").count().collect()
     share = {r.w: r["count"] / 20000 for r in w}
     assert all(abs(share[k] - x) < 0.015 for k, x in enumerate((0.3679, 0.3679, 0.1839, 0.0613)))
+
+
+def test_experiment_chunks_only_documents_that_are_scored(spark):
+    steps = "1. Open the valve\n\nWarning: hot\n\n2. Close the valve"
+    rows = [(1, steps), (2, "no step in here"), (3, None), (4, "a second row has the step"), (4, steps), (None, steps), (5, "\n\n".join(f"{i}. Turn wheel {'x' * 2000} {i}" for i in range(1, 40)))]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    chunks = spark.sparkContext.accumulator(0)
+
+    def counted(text, idx, title):
+        if idx >= 0 and "no step" in text:
+            chunks.add(1)
+        return extract.rules(text, idx, title)
+
+    show = lambda d: sorted(str(r) for r in d.select(*sorted(d.columns)).collect())
+    got = show(experiment.run(docs, counted))
+    assert chunks.value == 0 and len(got) == 5 * 3
+    assert got == show(experiment.evaluate(experiment.cells(docs, counted), experiment.gold(docs, counted))) and chunks.value > 0
