@@ -49,6 +49,8 @@ FRAGMENT_GRAMS, LEAST_FRAGMENTS = 16_384, 4
 BROADCAST_TEXTS = 300_000
 #: Cells of a line of the sketch of all n-grams, as powers of two (16 MB at most); beyond, n-grams are counted by a shuffle.
 LEAST_BITS, MOST_BITS = 12, 27
+#: N-grams that a task holds before they become rows of the sketch; sorting them takes about 70 bytes each in every Python worker.
+FLUSH_GRAMS = 1_000_000
 #: Width of a size class, and the rounds of hubs at most before all pairs that are left are tried.
 SIZE_STEP, MOST_ROUNDS = 1.1, 8
 _SHORT = rolling.mix(np.arange(1, 65, dtype=U) * U(0x632BE59BD9B4E019))
@@ -142,7 +144,7 @@ class Join:
             return
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from sketch.partial_rows((s for b in batches for _, s in sets_of(b.column(0), gram)), bits)
+            yield from sketch.partial_rows((s for b in batches for _, s in sets_of(b.column(0), gram)), bits, FLUSH_GRAMS)
 
         lines, levels, weight = sketch.levelled(self.first.select("text").mapInArrow(prints, sketch.ROWS), bits)
         self.order = self.spark.sparkContext.broadcast((lines, levels, bits, _pivots(weight, self.fragments)))

@@ -2,9 +2,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from stepweave.llm import components, jaccard_join, substring_dedup
+from stepweave.llm import components, jaccard_join, sketch, substring_dedup
 from stepweave.llm.scratch import Scratch
 
 
@@ -124,3 +125,27 @@ def test_components_of_paths_stars_and_rings(spark):
     edges = [(b, a) if rnd.random() < 0.5 else (a, b) for a, b in edges]
     got = dict(components.components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{x: 100 for x in range(100, 181)}, **{x: 5 for x in (5, *range(300, 340))}, **{x: 400 for x in range(400, 430)}}
+
+
+def test_a_task_sketches_many_ngrams_in_little_memory():
+    import tracemalloc
+
+    def rows(flush, parts):
+        rnd = np.random.default_rng(4)
+        for batch in sketch.partial_rows((rnd.integers(0, 1 << 63, 10_000, np.uint64) for _ in range(parts)), 24, flush):
+            yield from batch.to_pylist()
+
+    tracemalloc.start()
+    assert sum(1 for _ in rows(jaccard_join.FLUSH_GRAMS, 450)) >= 2 * 2 * sketch.SHARDS
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # of each Python worker; with four million at a time it is above 200 MB
+
+    def counts(flush):
+        total = np.zeros((sketch.DEPTH, sketch.SHARDS, 1 << 20), np.int64)
+        for r in rows(flush, 20):
+            total[r["line"], r["shard"], sketch._ungapped(r["once"])] += 1
+            total[r["line"], r["shard"], sketch._ungapped(r["more"])] += 2
+        return np.minimum(total, 2)
+
+    assert (counts(30_000) == counts(1 << 30)).all()
